@@ -76,6 +76,13 @@ def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, rows: int = 128):
+    """Arrow batches in parts of a few rows, so that what is computed from the bytes stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the undirected edges (a, b).
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import connected_components, id_bitmap, in_bitmap, materialize, text_rows, utf8_batch
+from .common import connected_components, id_bitmap, in_bitmap, materialize, slices, text_rows, utf8_batch
 from .rolling import mix, shingle_sets
 
 #: Rows that a tile holds at most; larger buckets are dealt out over pairs of chunks.
@@ -74,7 +74,7 @@ def _nodes(rows: DataFrame, k: int) -> DataFrame:
                 ["kind", "doc_id", "uid", "node", "n", "bitmap", "shingle", "times"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, ns, maps = [], [], []
             for s in shingle_sets(*utf8_batch(batch.column("text")), k):
                 ns.append(len(s))
@@ -84,7 +84,7 @@ def _nodes(rows: DataFrame, k: int) -> DataFrame:
                     known.add(ids[-1])
                     held.append(s)
                     size += len(s)
-                    if size >= 1 << 22:
+                    if size >= 1 << 21:
                         yield counted()
                         held, size, known = [], 0, set()
             m = len(ids)
@@ -105,7 +105,7 @@ def _prefixes(rows: DataFrame, k: int, similarity: int, hot: np.ndarray, rank: n
     def run(batches):
         hot, rank = held.value
         known = set()
-        for batch in batches:
+        for batch in slices(batches):
             tokens, nodes, ns = [], [], []
             for s in shingle_sets(*utf8_batch(batch.column("text")), k):
                 n = len(s)
@@ -251,7 +251,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similar
     texts = rows.filter(in_bitmap(spark, id_bitmap(reps, "doc_id"), "doc_id")).join(reps, ["doc_id", "uid"]).dropDuplicates(["node"])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(*utf8_batch(batch.column("text")), k))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)

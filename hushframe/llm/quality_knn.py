@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import text_rows, utf8_batch
-from .rolling import word_hashes
+from .common import slices, text_rows, utf8_batch
+from .rolling import separated, word_hashes
 
 #: Labelled texts of each label that are learnt from, at most; dimensions; neighbours that vote; power of the similarity.
 SAMPLE, RANK, NEIGHBOURS, POWER = 2048, 48, 15, 8
@@ -53,10 +53,7 @@ def term_shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, TERMS))
     counts = counts.reshape(n, _SHAPES)
     out[:, :_SHAPES] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    # words: a separator between texts keeps them apart
-    joined = np.full(len(data) + n, 10, np.uint8)
-    joined[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
-    start, word = word_hashes(joined)
+    start, word = word_hashes(separated(data, offsets))
     first = np.searchsorted(start, offsets + np.arange(n + 1))
     for i in range(n):
         w = word[first[i] : first[i + 1]]
@@ -115,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     texts = text_rows(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             shares = term_shares(*utf8_batch(batch.column("text"))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([s.tobytes() for s in shares], pa.binary())], ["doc_id", "label", "shares"])
 

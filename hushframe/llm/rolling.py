@@ -91,12 +91,18 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
+def separated(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts with a newline after each, so that no word spans two of them."""
+    out = np.full(len(data) + len(offsets) - 1, 10, np.uint8)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        out[a + i : b + i] = data[a:b]
+    return out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
     """For each text its sorted distinct k-word shingle hashes; fewer words make one shingle, none an empty set."""
     n = len(offsets) - 1
-    # a separator between texts, so that no word spans two of them
-    joined = np.full(len(data) + n, 10, np.uint8)
-    joined[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
+    joined = separated(data, offsets)
     start, word = word_hashes(joined)
     first = np.searchsorted(start, offsets + np.arange(n + 1))
     with np.errstate(over="ignore"):
