@@ -191,8 +191,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long")
 
 
-def _tiles(mixed: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of different roots within a bucket that sizes and bitmaps leave possible; a tile holds a bucket or two of its chunks."""
+def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different roots within a bucket that sizes and bitmaps leave possible; a tile holds a bucket or two of its
+    chunks. nearest: of each set's pairs with larger ones, only the one with the greatest bound."""
 
     def pairs(rows):
         rows.sort(key=lambda r: r[1])
@@ -212,25 +213,44 @@ def _tiles(mixed: DataFrame, similarity: int) -> DataFrame:
             if not len(j):
                 continue
             mine = by_size[sizes[i]][within[i]]
+            top, partner = -1, None
             for z in np.unique(sizes[j]).tolist():
                 at = j[sizes[j] == z]
                 low = min(z, len(mine))
                 other, own = _fold(by_size[z][within[at]], low), _fold(mine, low)
                 bound = np.minimum(n[i] - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), n[at] - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
-                for b in at[bound >= _overlap_needed(n[i], n[at], similarity)].tolist():
+                spare = bound - _overlap_needed(n[i], n[at], similarity)
+                if nearest:
+                    if spare.max() > top:
+                        top, partner = int(spare.max()), int(at[spare.argmax()])
+                    continue
+                for b in at[spare >= 0].tolist():
                     yield rows[i][0], rows[b][0]
+            if partner is not None and top >= 0:
+                yield rows[i][0], rows[partner][0]
 
     def run(batches):
-        key, rows = None, []
+        key, rows, told = None, [], set()
+
+        def fresh(rows):
+            """The pairs that this task hasn't given out lately."""
+            nonlocal told
+            for p in pairs(rows):
+                if p not in told:
+                    told.add(p)
+                    yield p
+            if len(told) > 1 << 19:
+                told = set()
+
         for batch in batches:
             out = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk")), strict=True):
                 if r[:3] != key:
-                    out += pairs(rows) if len(rows) > 1 else ()
+                    out += fresh(rows) if len(rows) > 1 else ()
                     key, rows = r[:3], []
                 rows.append(r[3:])
             yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
-        out = list(pairs(rows)) if len(rows) > 1 else []
+        out = list(fresh(rows)) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
 
     cells = (
@@ -245,7 +265,6 @@ def _tiles(mixed: DataFrame, similarity: int) -> DataFrame:
 def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: int, name: str) -> DataFrame:
     """The pairs (a, b) whose shingle sets pass exactly."""
     spark = rows.sparkSession
-    pairs = materialize(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     reps = materialize(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "uid"), f"{name}-wanted")
     texts = rows.filter(in_bitmap(spark, id_bitmap(reps, "doc_id"), "doc_id")).join(reps, ["doc_id", "uid"]).dropDuplicates(["node"])
@@ -290,18 +309,25 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80) -> dict[str
 
     star = buckets.filter("hub <> node")
     nearest = star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = materialize(_linked(_bounded(nearest, nodes, similarity), nodes, rows, k, similarity, "near"), "links")
+    links = materialize(_linked(materialize(_bounded(nearest, nodes, similarity), "near-pairs"), nodes, rows, k, similarity, "near"), "links")
     roots = materialize(connected_components(links), "roots")
 
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token", "m")
-    mixed = materialize(placed.join(apart, "token"), "mixed")
-    pairs = _bounded(mixed.filter("m = 2 and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, similarity)
-    wide = mixed.filter("m > 2").join(nodes.select("node", "bitmap"), "node")
-    rest = pairs.union(_tiles(wide, similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_linked(rest, nodes, rows, k, similarity, "rest"), "more")
-    links = links.union(more)
-    roots = materialize(connected_components(links), "roots")
+    # what is still apart: first each set with its nearest in a tile, which joins most groups, then every pair
+    for turn, nearest in (("close", True), ("rest", False)):
+        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        same = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"sign{i}") for i in (0, 1)]
+        apart = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), *same).filter("low <> high")
+        apart = apart.groupBy("m", "sign0", "sign1").agg(F.min("token").alias("token")).select("token", "m")  # one bucket of those with the same nodes
+        mixed = materialize(placed.join(apart, "token").select("token", "node", "n", "hub", "root", "m"), f"{turn}-mixed")
+        pairs = _bounded(mixed.filter("m = 2 and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, similarity)
+        wide = mixed.filter("m > 2").join(nodes.select("node", "bitmap"), "node")
+        rest = pairs.union(_tiles(wide, similarity, nearest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if not nearest:
+            rest = rest.join(tried, ["a", "b"], "left_anti")
+        tried = materialize(rest, f"{turn}-tried")
+        more = materialize(_linked(tried, nodes, rows, k, similarity, turn), turn)
+        links = links.union(more)
+        roots = materialize(connected_components(links), "roots")
 
     placed = found.select("doc_id", "uid", "node", F.col("n").alias("n_shingles")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
