@@ -39,7 +39,7 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.lower(text), _SIGNS, " " * len(_SIGNS)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.lower(text), _SIGNS, " " * len(_SIGNS)), " "), "")
 
 
 def _log_bin(share: Column) -> Column:
