@@ -28,7 +28,7 @@ TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 #: Labelled texts that are learnt from, at most; words in the lexicon; evidence weight; steps at most; error that ends them.
 SAMPLE, LEXICON, EVIDENCE, STEPS, TOLERANCE = 20_000, 48, 0.5, 60, 1e-4
 _BINS = 8
-_SIGNS = ".,!?;:|\"()[]{}#$%&*+=@^~`<>/\\\n\t\r"
+_BETWEEN = r"[\s.,!?;:|\"()\[\]{}#$%&*+=@^~`<>/\\]+"
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(text), _SIGNS, " " * len(_SIGNS)), " "), "")
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
 def _log_bin(share: Column) -> Column:
@@ -52,14 +52,14 @@ def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("uid"), text.alias("text"))
     rows = rows.withColumn("words", _words(F.col("text"))).withColumn("n", F.greatest(F.length("text"), F.lit(1)))
-    share = lambda signs: (F.length("text") - F.length(F.translate("text", signs, ""))) / F.col("n")
+    share = lambda signs: F.regexp_count("text", F.lit(signs)) / F.col("n")
     known = F.array_distinct("words")
     hits = F.size(F.array_intersect(known, F.array(*(F.lit(w) for w in lexicon)).cast("array<string>")))
     bins = F.array(
         _log_bin(share("!")),
-        _log_bin(share("#$%&*")),
-        _log_bin(share("|")),
-        _log_bin(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+        _log_bin(share("[#$%&*]")),
+        _log_bin(share("[|]")),
+        _log_bin(share("[A-Z]")),
         _log_bin(F.lit(1.0) - F.size(known) / F.greatest(F.size("words"), F.lit(1))),
         F.least(F.floor(F.log2(F.size("words") + 1) / 2), F.lit(_BINS - 1)).cast("int"),
         F.least(hits, F.lit(_BINS - 1)),
