@@ -114,8 +114,10 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, dict]:
-    """rows with rate, and what was reached: expected tokens by domain, the wanted ones, and the steps."""
+def fit_rates(rows: DataFrame, targets: dict[str, float], thin: bool = False) -> tuple[DataFrame, dict]:
+    """rows with rate, and what was reached: expected tokens by domain, the wanted ones, and the steps.
+
+    thin: targets of all domains but the first are upper bounds; none is raised above its present share."""
     rows = materialize(rows, "posteriors")
     d = len(DOMAINS)
     p = [F.element_at("p", c + 1) for c in range(d)]
@@ -131,6 +133,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, di
     reached, moments = sums([])
     mass = reached
     weight = np.array([targets.get(x, 0.0) if m > 0 else 0.0 for x, m in zip(DOMAINS, mass, strict=True)])
+    if thin and mass.sum() > 0 and weight.sum() > 0:
+        weight = weight / weight.sum()
+        weight[1:] = np.minimum(weight[1:], mass[1:] / mass.sum())
+        weight[0] = 1 - weight[1:].sum() if mass[0] > 0 else 0.0
     wanted = weight / weight.sum() * mass.sum() if weight.sum() > 0 else np.zeros(d)
     steps: list[list[float]] = []
     size = 1.0
@@ -155,15 +161,15 @@ def copies(rates: DataFrame) -> DataFrame:
     return rates.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, dict]:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, thin: bool = False) -> tuple[DataFrame, dict]:
     """(doc_id, uid, tokens, p, rate, copies) for every row of docs, and what the fit reached."""
-    rates, said = fit_rates(posteriors(docs, labels), targets or TARGETS)
+    rates, said = fit_rates(posteriors(docs, labels), targets or TARGETS, thin)
     return copies(rates), said
 
 
-def repeat_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def repeat_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, thin: bool = False) -> DataFrame:
     """docs with each row as often as its rate says; columns stay."""
-    rows = materialize(mixed(docs, labels, targets)[0].select("doc_id", F.col("uid").alias("_uid"), F.col("copies").alias("_copies")).dropDuplicates(["doc_id", "_uid"]), "copies")
+    rows = materialize(mixed(docs, labels, targets, thin)[0].select("doc_id", F.col("uid").alias("_uid"), F.col("copies").alias("_copies")).dropDuplicates(["doc_id", "_uid"]), "copies")
     # most rows stay once: only the others need the join
     own = docs.withColumn("_uid", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
     joined = own.join(rows.filter("_copies <> 1"), (own["doc_id"].eqNullSafe(rows["doc_id"])) & (own["_uid"] == rows["_uid"]), "left").drop(rows["doc_id"]).drop(rows["_uid"])
