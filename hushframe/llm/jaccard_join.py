@@ -193,10 +193,19 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
 
 def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different roots within a bucket that sizes and bitmaps leave possible; a tile holds a bucket or two of its
-    chunks. nearest: of each set's pairs with larger ones, only the one with the greatest bound."""
+    chunks. nearest: of each set's pairs with larger ones, only the one with the greatest bound. Otherwise a pair comes from one
+    bucket only: that of the least token (of tokens, the buckets that each node is in) that both share."""
 
-    def pairs(rows):
+    def pairs(rows, token):
         rows.sort(key=lambda r: r[1])
+        own_tokens: dict[int, frozenset] = {}
+
+        def meets_here(i, j):
+            for x in (i, j):
+                if x not in own_tokens:
+                    own_tokens[x] = frozenset(rows[x][5])
+            return min(own_tokens[i] & own_tokens[j]) == token
+
         n = np.array([r[1] for r in rows])
         root = np.array([r[2] for r in rows])
         chunk = np.array([r[4] for r in rows])
@@ -225,39 +234,29 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
                         top, partner = int(spare.max()), int(at[spare.argmax()])
                     continue
                 for b in at[spare >= 0].tolist():
-                    yield rows[i][0], rows[b][0]
+                    if meets_here(i, b):
+                        yield rows[i][0], rows[b][0]
             if partner is not None and top >= 0:
                 yield rows[i][0], rows[partner][0]
 
     def run(batches):
-        key, rows, told = None, [], set()
-
-        def fresh(rows):
-            """The pairs that this task hasn't given out lately."""
-            nonlocal told
-            for p in pairs(rows):
-                if p not in told:
-                    told.add(p)
-                    yield p
-            if len(told) > 1 << 19:
-                told = set()
-
+        key, rows = None, []
         for batch in batches:
             out = []
-            for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk", "tokens")), strict=True):
                 if r[:3] != key:
-                    out += fresh(rows) if len(rows) > 1 else ()
+                    out += pairs(rows, key[0]) if len(rows) > 1 else ()
                     key, rows = r[:3], []
                 rows.append(r[3:])
             yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
-        out = list(fresh(rows)) if len(rows) > 1 else []
+        out = list(pairs(rows, key[0])) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
 
     cells = (
         mixed.withColumn("chunks", F.expr(f"cast(ceil(m / {TILE}) as int)"))
         .withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "n", "root", "bitmap", "chunk")
+        .select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "n", "root", "bitmap", "chunk", "tokens")
     )
     return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
 
@@ -320,7 +319,11 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80) -> dict[str
         apart = apart.groupBy("m", "sign0", "sign1").agg(F.min("token").alias("token")).select("token", "m")  # one bucket of those with the same nodes
         mixed = materialize(placed.join(apart, "token").select("token", "node", "n", "hub", "root", "m"), f"{turn}-mixed")
         pairs = _bounded(mixed.filter("m = 2 and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, similarity)
-        wide = mixed.filter("m > 2").join(nodes.select("node", "bitmap"), "node")
+        many = mixed.filter("m > 2")
+        # a node is in as many buckets as its prefix is long
+        tokens = F.array().cast("array<long>") if nearest else F.collect_set("token")
+        held = many.select("node").distinct().withColumn("tokens", tokens) if nearest else many.groupBy("node").agg(tokens.alias("tokens"))
+        wide = many.join(held.join(nodes.select("node", "bitmap"), "node"), "node")
         rest = pairs.union(_tiles(wide, similarity, nearest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if not nearest:
             rest = rest.join(tried, ["a", "b"], "left_anti")
