@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from .functions import checks, keyed, text
 from .functions.spans import apply_edits, occurrences
-from .operators import decide, detect, merge, scopes, tokens
+from .operators import decide, detect, merge, requests, scopes, tokens
 from .plans.vocabulary import ACTIONS, DURATION_BUCKETS, IMAGE_CLASSES, POLICY, SEVERITY
 from .sources import binary
 
@@ -47,6 +47,8 @@ RECIPES = {
     "claim": ("customer", "c_custkey", f"'患者: ' || c_name || ' | 电话: 138' || case when {_NEAR} then {_digits('k % 10000000', 7)} else {_digits('k', 8)} end || ' | 卡号: 4539 5787 ' || {_digits('k % 10000', 4)} || ' ' || {_digits('k * 7 % 10000', 4)} || ' | 病历号: ' || case when k % 5 = 0 then 'ZY' || cast(k as string) else '' end"),
     "tokens": ("customer", "c_custkey", f"'see ' || case when {_NEAR} then '[[PGW_V1_PERSON_ABCDEFGHJKLM]] and [[ PGWx ]]' else '[[NOT]] [[A_B1234567]]' end || ' [[NAME_' || {_digits('k', 8)} || ']]'"),
     "log": ("customer", "c_custkey", f"'api_key= s' || cast(k as string) || ' card 4539' || {_digits('k', 10)} || ' to u' || cast(k as string) || '@example.com ok'"),
+    "payload": ("customer", "c_custkey", """case when k % 5 = 1 then '```json' || chr(10) else '' end || '{"entities": [{"start": 0, "end": 4, "text": "' || c_name || '", "type": "PERSON"' || case when k % 5 = 3 then '' else ', "confidence": 0.9' end || '}]' || case when k % 5 = 2 then ', "note": 1' else '' end || case when k % 5 = 4 then '' else '}' end || case when k % 5 = 1 then chr(10) || '```' else '' end"""),
+    "reply": ("customer", "c_custkey", """'{"choices": [' || case when k % 5 = 4 then '' else '{"message": {"content": ' || case k % 5 when 0 then '"Dear ' || c_name || '"' when 1 then '[{"type": "text", "text": "Dear "}, {"type": "text", "text": "' || c_name || '"}]' when 2 then 'null, "tool_calls": [{"id": "a", "function": {"name": "f", "arguments": "{}"}}]' else '"  "' end || '}, "finish_reason": "stop"}' end || ']}'"""),
     "file": ("part", "p_partkey", "case when k % 3 = 0 then 'C:\\scans\\' else '/in/' end || p_name || '/' || p_brand || cast(k as string) || '.docx'"),
 }
 
@@ -356,7 +358,27 @@ _query(
     "select doc_id as item_id, start, start + 3 as \"end\" from (select doc_id, unnest(list_filter(range(0, length(text) - 2), lambda i: substr(text, i + 1, 3) = 'the')[1:20])::int as start from documents)",
 )(lambda s, d: _docs(s, d).select("item_id", F.explode(occurrences(F.col("text"), F.lit("the"))).alias("x")).select("item_id", "x.start", "x.end"))
 
-# ---- requests: messages, references, uploads, guard ------------------------------------------------------------------
+# ---- requests: manifests, payloads, replies, messages, references, uploads, guard ------------------------------------
+@_query("manifest_normalize", """with m as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as request_id, role, text, turn from conversations),
+    i as (select request_id, role, 0 as position, 'a' as item_id, text, null as file_field from m
+      union all select request_id, role, 1, case when turn % 3 = 0 then 'a' else 'b' end, null, case when turn % 4 = 0 then null else 'f' end from m)
+    select request_id, 0 as message_index, position, role, item_id, octet_length(encode(text)) as byte_size, case when count(*) over (partition by request_id, item_id) > 1 then 'duplicate_item_id'
+      when position = 0 and coalesce(text, '') = '' then 'text_required' when position = 1 and file_field is null then 'file_required' end as error_code from i""")
+def manifest_normalize(spark, sf_dir):
+    """A manifest for each turn: its text, and an upload that sometimes repeats the text's id or lacks its file."""
+    item = lambda kind, item_id, value, field: F.struct(F.lit(kind).alias("type"), item_id.alias("item_id"), value.alias("text"), field.alias("file_field"))
+    none = F.lit(None).cast("string")
+    content = F.array(item("text", F.lit("a"), F.col("text"), none), item("image", F.when(F.col("turn") % 3 == 0, "a").otherwise("b"), none, F.when(F.col("turn") % 4 != 0, "f")))
+    manifests = _table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("request_id"), F.array(F.struct("role", content.alias("content"))).alias("messages"))
+    return requests.normalized(manifests).drop("type", "text", "file_field")
+
+
+_query("model_payload_parse", "select k as item_id, case when k % 5 in (2, 4) then 'model_bad_payload' when k % 5 = 3 then 'model_bad_claim' end as error_code, case when k % 5 < 2 then c_name end as claimed, case when k % 5 < 2 then 0.9::double end as confidence from (select *, c_custkey as k from customer)")(
+    lambda s, d: items(s, d, "payload").withColumn("p", requests.parsed_claims(F.col("text"))).select("item_id", "p.error_code", F.col("p.claims")[0]["text"].alias("claimed"), F.col("p.claims")[0]["confidence"].alias("confidence"))
+)
+_query("reply_parse", "select k as item_id, case when k % 5 < 2 then 'Dear ' || c_name when k % 5 = 3 then '  ' end as text, (k % 5 = 2)::int as n_tool_calls, case k % 5 when 3 then 'reply_empty' when 4 then 'reply_malformed' end as error_code from (select *, c_custkey as k from customer)")(
+    lambda s, d: items(s, d, "reply").withColumn("p", requests.parsed_reply(F.col("text"))).select("item_id", "p.text", "p.n_tool_calls", "p.error_code")
+)
 _query("material_refs", "select conv_id, turn, 'M' || row_number() over (partition by conv_id order by turn) as ref from conversations")(
     lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit("M"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("string")).alias("ref"))
 )
@@ -404,6 +426,10 @@ _query("mime_sniff", "select doc_id, case when doc_id % 5 = 0 then 'image/png' w
     .filter("doc_id % 5 <> 1 or mime is not null")
 )
 
+_query("docx_parse", "select cast(doc_id as varchar) as item_id, sha256(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) as text_sha256, true as fully_inspected, null::varchar as error_code from documents")(
+    lambda s, d: binary.parsed(_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), binary.archived(F.col("text")).alias("data"))).select("item_id", F.sha2("text", 256).alias("text_sha256"), "fully_inspected", "error_code")
+)
+
 # ---- scopes, reports -----------------------------------------------------------------------------------------------
 _SCOPE_LIMITS = {"turns": 50, "files": 20, "bytes": 3000, "pages": 200}
 _query("scope_admission", """with recursive t as (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, (event_type = 'purchase')::int as files, octet_length(encode(props)) as bytes, event_id % 3 as pages from events),
