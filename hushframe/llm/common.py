@@ -20,11 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Shuffle files of a finished execution go at once instead of when the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a lost executor never costs more than one step."""
+    """Write df to the shared folder and read it back: a lost executor never costs more than one step.
+
+    The step's shuffle files are dropped after it, as nothing reads them again; while it runs they are kept for retries.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hushframe/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
