@@ -98,8 +98,9 @@ def slices(batches, rows: int = 128):
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the undirected edges (a, b).
 
-    Alternating large-star and small-star rounds over the edge list; each round is written to the shared folder.
-    Nothing is gathered per node: minima are aggregated and joined back.
+    Alternating large-star and small-star rounds over the edge list; each round is written to the shared folder, and
+    the last is the one that leaves only stars. Edges are read twice, so they should come from a table. Nothing is
+    gathered per node: minima are aggregated and joined back.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -115,15 +116,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    e = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    mark = None
+    e = edges.select("a", "b").filter("a <> b")
     for _ in range(max_rounds):
         e = materialize(star(star(e, True), False), "star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # settled: each node has one edge, and none that a node points to has an edge of its own
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("met")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("own"), F.lit(1).alias("met")))
+        if not ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("met").alias("met")).filter("own + met > 1").count():
             break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

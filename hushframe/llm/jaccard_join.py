@@ -330,7 +330,9 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80) -> dict[str
         tried = materialize(rest, f"{turn}-tried")
         more = materialize(_linked(tried, nodes, rows, k, similarity, turn), turn)
         links = links.union(more)
-        roots = materialize(connected_components(links), "roots")
+        # what was connected before stays so through its roots
+        known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        roots = materialize(connected_components(known.union(more)), "roots")
 
     placed = found.select("doc_id", "uid", "node", F.col("n").alias("n_shingles")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
