@@ -194,9 +194,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
 def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different roots within a bucket that sizes and bitmaps leave possible; a tile holds a bucket or two of its
     chunks. nearest: of each set's pairs with larger ones, only the one with the greatest bound. Otherwise a pair comes from one
-    bucket only: that of the least token (of tokens, the buckets that each node is in) that both share."""
+    bucket only: that of the least token that both share. tokens: the buckets that each node is in; rows carry those before their own."""
 
-    def pairs(rows, token):
+    def pairs(rows):
         rows.sort(key=lambda r: r[1])
         own_tokens: dict[int, frozenset] = {}
 
@@ -204,7 +204,7 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
             for x in (i, j):
                 if x not in own_tokens:
                     own_tokens[x] = frozenset(rows[x][5])
-            return min(own_tokens[i] & own_tokens[j]) == token
+            return own_tokens[i].isdisjoint(own_tokens[j])
 
         n = np.array([r[1] for r in rows])
         root = np.array([r[2] for r in rows])
@@ -245,18 +245,18 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
             out = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk", "tokens")), strict=True):
                 if r[:3] != key:
-                    out += pairs(rows, key[0]) if len(rows) > 1 else ()
+                    out += pairs(rows) if len(rows) > 1 else ()
                     key, rows = r[:3], []
                 rows.append(r[3:])
             yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
-        out = list(pairs(rows, key[0])) if len(rows) > 1 else []
+        out = list(pairs(rows)) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
 
     cells = (
         mixed.withColumn("chunks", F.expr(f"cast(ceil(m / {TILE}) as int)"))
         .withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "n", "root", "bitmap", "chunk", "tokens")
+        .select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "n", "root", "bitmap", "chunk", F.filter("tokens", lambda x: x < F.col("token")).alias("tokens"))
     )
     return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
 
