@@ -6,8 +6,9 @@ begins where sizes differ too much for a link, and members are first compared wi
 is still apart after that is compared within salted tiles. A pair must pass its sizes, then a bound on the overlap
 from hashed bitmaps (bits of one set missing in the other), then an exact intersection of the sorted shingle arrays.
 
-Pairs that are already connected aren't compared again: links between different texts decide components, and no
-component is ever missed. Only candidate pairs are verified; nothing is compared all against all.
+Components come first: pairs that are already connected aren't compared again there, and no component is ever missed.
+Every link lies within a component, so the links are then counted exactly inside each component of three nodes or more,
+in cells of two salted chunks; sizes decide which pairs a cell intersects. Nothing is compared across components.
 
 Null or wordless texts have no shingles and link with nothing. Repeated rows and doc_ids are kept. Extra columns are
 ignored. An empty table gives an empty result.
@@ -25,6 +26,8 @@ from .rolling import mix, shingle_sets
 
 #: Rows that a tile holds at most; larger buckets are dealt out over pairs of chunks.
 TILE = 1024
+#: Shingles that a chunk of a component holds, about.
+CHUNK_SHINGLES = 1 << 19
 #: Shingles known to be frequent, at most. Only the order of prefixes depends on it, never the result.
 HOT_SHINGLES = 1 << 18
 
@@ -261,21 +264,29 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
     return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets pass exactly."""
-    spark = rows.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = materialize(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "uid"), f"{name}-wanted")
-    texts = rows.filter(in_bitmap(spark, id_bitmap(reps, "doc_id"), "doc_id")).join(reps, ["doc_id", "uid"]).dropDuplicates(["node"])
+def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """wanted (node, ...) with the text of a row that represents the node."""
+    reps = materialize(nodes.select("node", "doc_id", "uid").join(wanted, "node"), f"{name}-wanted")
+    return rows.filter(in_bitmap(rows.sparkSession, id_bitmap(reps, "doc_id"), "doc_id")).join(reps, ["doc_id", "uid"]).dropDuplicates(["node"])
+
+
+def _with_shingles(texts: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """The kept long columns of texts and their shingles."""
 
     def run(batches):
         for batch in slices(batches):
             sets = list(shingle_sets(*utf8_batch(batch.column("text")), k))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, "shingles"])
+
+    return texts.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", shingles array<long>")
 
-    sets = materialize(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), f"{name}-sets")
+
+def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets pass exactly."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(_with_shingles(_texts(wanted, nodes, rows, name), k, ["node"]), f"{name}-sets")
     both = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -286,11 +297,86 @@ def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similar
     )
 
 
-def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80) -> dict[str, DataFrame]:
+def _cell_links(node: np.ndarray, chunk: np.ndarray, offsets: np.ndarray, flat: np.ndarray, similarity: int):
+    """Arrays (a, b), a < b, of the links of a cell's rows, ordered by chunk and set size; of two chunks only those across."""
+    n = np.diff(offsets)
+    flat = np.unique(flat, return_inverse=True)[1]
+    mine = np.zeros(flat.max() + 1, bool)
+    split = int(np.searchsorted(chunk, chunk[-1]))  # where the last chunk begins, 0 if it is the only one
+    for i in range(split or len(n)):
+        begin, end = split or i + 1, len(n)
+        low = begin + int(np.searchsorted(n[begin:end], -(-similarity * n[i] // 100)))
+        high = begin + int(np.searchsorted(n[begin:end], 100 * n[i] // similarity, "right"))
+        if low >= high:
+            continue
+        own = flat[offsets[i] : offsets[i + 1]]
+        mine[own] = True
+        both = np.add.reduceat(mine[flat[offsets[low] : offsets[high]]], offsets[low:high] - offsets[low], dtype=np.int64)
+        mine[own] = False
+        other = node[low:high][both >= _overlap_needed(n[i], n[low:high], similarity)]
+        if len(other):
+            yield np.minimum(other, node[i]), np.maximum(other, node[i])
+
+
+def _every_link(links: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: int) -> DataFrame:
+    """All links (a, b), a < b. links: enough of them to span the components that roots (node, root) gives."""
+    size = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / CHUNK_SHINGLES))
+    sized = materialize(roots.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("m"), size.alias("chunks")), "sizes")
+    pairs = links.join(roots, F.col("a") == F.col("node")).join(sized.filter("m = 2"), "root", "left_semi")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = roots.join(sized.filter("m > 2").select("root", "chunks"), "root")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    cells = (
+        _with_shingles(_texts(wanted, nodes, rows, "every"), k, ["node", "root", "chunks"])
+        .select("root", "node", "shingles", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+        .select("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", F.size("shingles").alias("n"), "node", "shingles")
+    )
+
+    def run(batches):
+        key, held = None, []
+
+        def found():
+            part = pa.Table.from_batches(held).combine_chunks()
+            if len(part) < 2:
+                return
+            sets = part["shingles"].combine_chunks()
+            offsets = np.concatenate(([0], np.cumsum(part["n"].to_numpy().astype(np.int64))))
+            out, m = [], 0
+            if part["lo"][0] != part["hi"][0] and part["chunk"][0] == part["chunk"][-1]:
+                return
+            for x in _cell_links(part["node"].to_numpy(), part["chunk"].to_numpy(), offsets, sets.flatten().to_numpy(), similarity):
+                out.append(x)
+                m += len(x[0])
+                if m >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+                    out, m = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "lo", "hi")], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for begin, end in zip(starts, starts[1:]):
+                if (own := tuple(keys[begin].tolist())) != key:
+                    if held:
+                        yield from found()
+                    key, held = own, []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from found()
+
+    return pairs.union(cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "chunk", "n").mapInArrow(run, "a long, b long"))
+
+
+def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_only: bool = False) -> dict[str, DataFrame]:
     """Link texts whose distinct k-word shingles have 100 * intersection >= similarity * union.
 
-    documents: doc_id, uid, node (null without words), n_shingles, component_id (smallest doc_id reachable).
-    links: verified pairs (a, b) of nodes, enough to connect each component.
+    documents: doc_id, uid, node (null without words), n_shingles, component_id (smallest doc_id reachable), n_links (other
+    nodes that the document's node links with).
+    links: all verified pairs (a, b) of nodes, a < b.
+    components_only: documents without n_links, and no links.
     """
     spark = docs.sparkSession
     rows = text_rows(docs)
@@ -337,12 +423,17 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80) -> dict[str
     placed = found.select("doc_id", "uid", "node", F.col("n").alias("n_shingles")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     documents = placed.join(least, "root", "left").select("doc_id", "uid", "node", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return {"documents": documents, "links": links}
+    if components_only:
+        return {"documents": documents}
+    links = materialize(_every_link(links, roots, nodes, rows, k, similarity), "every-link")
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    degrees = materialize(ends.groupBy("node").agg(F.count("*").alias("n_links")), "degrees")
+    return {"documents": documents.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "links": links}
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """docs without all but one row of each component: that of the smallest doc_id. Wordless texts stay."""
-    keys = materialize(similar_texts(docs, k, similarity)["documents"], "components").filter("component_id = doc_id").select("doc_id", "uid").distinct()
+    keys = materialize(similar_texts(docs, k, similarity, components_only=True)["documents"], "components").filter("component_id = doc_id").select("doc_id", "uid").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), text))
     return own.join(keys.withColumnsRenamed({"uid": "_uid"}), ["doc_id", "_uid"], "left_semi").dropDuplicates(["doc_id", "_uid"]).select(*docs.columns)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from hushframe.llm import jaccard_join as J
 
 SCHEMA = "doc_id long, text string, node string"
@@ -66,3 +68,30 @@ def test_empty_table_and_kept_rows(spark):
     kept = J.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "node"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def brute_links(rows, k, s):
+    """How many other shingle sets each row's set links with."""
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ())
+    nodes = {x for x in sets.values() if x}
+    return {i: sum(100 * len(x & y) >= s * len(x | y) for y in nodes if x != y) if x else 0 for i, x in sets.items()}
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_every_link_of_a_component(spark, monkeypatch, tile):
+    monkeypatch.setattr(J, "TILE", tile)
+    words = [f"v{j}" for j in range(120)]
+    near = [(1000 + i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(0, 30)]
+    chain = [(2000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))) for i in range(12)]
+    rows = corpus(3, 60) + near + chain
+    out = J.similar_texts(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), 4, 85)
+    want = brute_links(rows, 4, 85)
+    assert {r.doc_id: r.n_links for r in out["documents"].collect()} == want
+    assert want[1000] == 29 and 0 < want[2000] < want[2006] < 11
+    links = [(r.a, r.b) for r in out["links"].collect()]
+    node = {r.doc_id: r.node for r in out["documents"].collect()}
+    assert len(links) == len(set(links)) == sum({node[i]: n for i, n in want.items() if node[i] is not None}.values()) // 2
+    assert all(a < b for a, b in links)
