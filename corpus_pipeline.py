@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
 
-#: A classifier and tokens aren't SQL; tests hold the pipeline against its brute-force version.
+#: A classifier and tokens aren't SQL; tests hold the near-duplicates stage against brute force, the others only as operators.
 ORACLE_SQL = None
 
 

@@ -43,7 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, text): null text as empty; uid tells apart rows that repeat a doc_id with other text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("uid"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), text.alias("text"))
 
 
 def id_bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:

@@ -266,8 +266,9 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
 
 def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """wanted (node, ...) with the text of a row that represents the node."""
-    reps = materialize(nodes.select("node", "doc_id", "uid").join(wanted, "node"), f"{name}-wanted")
-    return rows.filter(in_bitmap(rows.sparkSession, id_bitmap(reps, "doc_id"), "doc_id")).join(reps, ["doc_id", "uid"]).dropDuplicates(["node"])
+    reps = materialize(nodes.select("node", F.col("doc_id").alias("rep_id"), F.col("uid").alias("rep_uid")).join(wanted, "node"), f"{name}-wanted")
+    near = rows.filter(in_bitmap(rows.sparkSession, id_bitmap(reps, "rep_uid"), "uid"))
+    return near.join(reps, (F.col("uid") == F.col("rep_uid")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).dropDuplicates(["node"])
 
 
 def _with_shingles(texts: DataFrame, k: int, keep: list[str]) -> DataFrame:
@@ -373,8 +374,8 @@ def _every_link(links: DataFrame, roots: DataFrame, nodes: DataFrame, rows: Data
 def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_only: bool = False) -> dict[str, DataFrame]:
     """Link texts whose distinct k-word shingles have 100 * intersection >= similarity * union.
 
-    documents: doc_id, uid, node (null without words), n_shingles, component_id (smallest doc_id reachable), n_links (other
-    nodes that the document's node links with).
+    documents: doc_id, uid, node (null without words), n_shingles, root (one node of the component, null without words),
+    component_id (smallest doc_id reachable), n_links (other nodes that the document's node links with).
     links: all verified pairs (a, b) of nodes, a < b.
     components_only: documents without n_links, and no links.
     """
@@ -422,7 +423,7 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
 
     placed = found.select("doc_id", "uid", "node", F.col("n").alias("n_shingles")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    documents = placed.join(least, "root", "left").select("doc_id", "uid", "node", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    documents = placed.join(least, "root", "left").select("doc_id", "uid", "node", "n_shingles", "root", F.coalesce("least", "doc_id").alias("component_id"))
     if components_only:
         return {"documents": documents}
     links = materialize(_every_link(links, roots, nodes, rows, k, similarity), "every-link")
@@ -432,8 +433,12 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """docs without all but one row of each component: that of the smallest doc_id. Wordless texts stay."""
-    keys = materialize(similar_texts(docs, k, similarity, components_only=True)["documents"], "components").filter("component_id = doc_id").select("doc_id", "uid").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), text))
-    return own.join(keys.withColumnsRenamed({"uid": "_uid"}), ["doc_id", "_uid"], "left_semi").dropDuplicates(["doc_id", "_uid"]).select(*docs.columns)
+    """docs without all but one row of each component: that of the smallest doc_id, null only if all are. Wordless rows stay, repeated ones too."""
+    found = materialize(similar_texts(docs, k, similarity, components_only=True)["documents"], "components").filter("root is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+    keys = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.uid").alias("_kept_uid"))
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    own = docs.withColumn("_uid", F.xxhash64(doc_id, text)).withColumn("_wordless", ~text.rlike(r"[^\x20\x09-\x0D]"))
+    kept = own.join(keys, (F.col("_uid") == F.col("_kept_uid")) & doc_id.eqNullSafe(F.col("_kept_id")), "left").filter("_wordless or _kept_uid is not null")
+    copy = F.when(F.col("_wordless"), F.monotonically_increasing_id())  # null where rows that repeat the kept one go
+    return kept.withColumn("_copy", copy).dropDuplicates(["doc_id", "_uid", "_copy"]).select(*docs.columns)

@@ -95,3 +95,24 @@ def test_every_link_of_a_component(spark, monkeypatch, tile):
     node = {r.doc_id: r.node for r in out["documents"].collect()}
     assert len(links) == len(set(links)) == sum({node[i]: n for i, n in want.items() if node[i] is not None}.values()) // 2
     assert all(a < b for a, b in links)
+
+
+def test_null_repeated_and_int_doc_ids(spark):
+    import corpus_pipeline
+
+    texts = corpus(11, 60)[:60]
+    words = [f"n{j}" for j in range(60)]
+    near = lambda i: " ".join(words[:i] + ["odd"] + words[i + 1 :])
+    other, alone = " ".join(f"o{j}" for j in range(40)), " ".join(f"a{j}" for j in range(40))
+    rows = texts + [(None, near(3)), (500, near(3)), (501, near(4)), (501, near(5)), (None, other), (None, other + " end"), (None, alone), (None, None), (None, ""), (600, " "), (600, " "), (601, None), (601, "")]
+    out = J.similar_texts(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA.replace("long", "int")), 5, 80)["documents"].collect()
+    assert {r.component_id for r in out if r.doc_id in (500, 501)} == {500} and {r.n_links for r in out if r.doc_id in (500, 501)} == {2}
+
+    # brute force: rows numbered so that null doc_ids come last
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    found = brute([(at, rows[i][1]) for at, i in enumerate(order)], 5, 80)
+    want = sorted(str(rows[order[at]][0]) for at, (_, root) in found.items() if at == root)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA.replace("long", "int"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in kept) == want
+    assert {(r.doc_id, r.text) for r in kept} <= set(rows)
