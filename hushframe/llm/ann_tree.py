@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample of unit vectors and indexes every row by its leaf. A query walks the tree through
 a priority queue of nodes by distance, taking leaves best first. How many leaves it takes is calibrated: for a bounded
 number of the queries the exact neighbours over all rows are found by blocked products, and visits are widened until
-they hold the wanted share of them. Candidates are ranked by their exact cosine in double precision.
+they hold the wanted share of them; a query goes on until its leaves hold k other rows. Candidates are ranked by their exact cosine in double precision.
 
 Null, zero, non-finite and oddly sized vectors take no part. Repeated rows are candidates each. Extra columns are ignored. An empty
 table gives an empty result.
@@ -79,14 +79,15 @@ class Tree:
             waiting += [(kid, held[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def walk(self, row: np.ndarray, visits: int) -> list[int]:
-        """The first leaves of a best-bin-first traversal."""
+    def walk(self, row: np.ndarray, visits: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first traversal, more than visits until they hold least rows by counts."""
         distance = ((self.centre - row) ** 2).sum(axis=1)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(self.leaf[node])
+                held += int(counts[self.leaf[node]]) if counts is not None else 0
             for kid in self.children[node]:
                 heapq.heappush(queue, (float(distance[kid]), kid))
         return out
@@ -150,16 +151,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
     said = {"visits": visits, "leaves": tree.leaves, "recall": float((ranks <= visits).mean())}
 
+    # rows of each leaf, and of each query's own id: those aren't candidates
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():  # a row for each leaf
+        counts[r["leaf"]] = r["count"]
+    sized = spark.sparkContext.broadcast(counts)
+    own = index.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
+    asked = queries.join(own, "query_id", "left").select("query_id", "v", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+
     def walked(batches):
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
                 v = matrix(part.column("v"))
-                found = [held.value.walk(row, visits) for row in v / np.linalg.norm(v, axis=1, keepdims=True)]
+                found = [held.value.walk(row, visits, sized.value, k + n) for row, n in zip(v / np.linalg.norm(v, axis=1, keepdims=True), part.column("own").to_pylist(), strict=True)]
                 again = np.repeat(np.arange(len(part)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(again)), part.column("v").take(pa.array(again)), pa.array(np.concatenate(found).astype(np.int64))], ["query_id", "v", "leaf"])
 
-    visit = queries.mapInArrow(walked, "query_id long, v array<double>, leaf long")
+    visit = asked.mapInArrow(walked, "query_id long, v array<double>, leaf long")
     sizes = F.broadcast(index.groupBy("leaf").agg(F.max("chunks").alias("chunks")))  # a row for each leaf
     blocks = max(1, -(-queries.count() // QUERIES))
     visit = visit.join(sizes, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

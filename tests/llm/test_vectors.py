@@ -58,3 +58,18 @@ def test_recall_and_scores(spark, monkeypatch):
         hits += len({m[1] for m in mine} & set(want))
         total += 5
     assert hits >= 0.9 * total
+
+
+def test_outlying_query_still_gets_k(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "LEAF", 16)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(25, 8)) * [1, 1, 1, 1, 1, 1, 1, 0]
+    v = np.repeat(centres, 40, axis=0) + r.normal(size=(1000, 8)) * 1e-4
+    v[0] = [0, 0, 0, 0, 0, 0, 0, 9]  # alone
+    rows = [(i, x.astype(np.float32).tolist(), "q", "s") for i, x in enumerate(v)] + [(0, [0.0] * 7 + [8.0], "q", "s")] * 6
+    got, said = ann_tree.cosine_neighbours(spark.createDataFrame(rows, SCHEMA), recall=0.1)
+    found = {}
+    for x in got.collect():
+        found.setdefault(x.query_id, []).append(x.vec_id)
+    assert said["visits"] == 1
+    assert {q: len(x) for q, x in found.items()} == {q: 5 for q in range(0, 1000, 50)}
