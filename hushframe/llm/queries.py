@@ -20,7 +20,8 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann_tree.cosine_neighbours(_table(spark, sf_dir, "embeddings"))[0]
+    out, said = ann_tree.cosine_neighbours(_table(spark, sf_dir, "embeddings"))
+    return out.withColumns({"measured_recall": F.lit(float(said["measured"])), "visited_leaves": F.lit(said["visits"]), "leaves": F.lit(said["leaves"])})
 
 
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
