@@ -25,7 +25,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .common import materialize, text_rows
-from .rolling import SEGMENT, pieces, prefix
+from .rolling import lanes, mix
 
 #: Items in a first group, and groups merged into one in each round.
 GROUP, MERGED = 1024, 8
@@ -36,11 +36,15 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Token ids of whole texts: plain Latin text is split and looked up by word hash, a batch at a time; only unseen words,
-    and texts with anything else in them, go to the tokenizer itself."""
+    """Token ids of whole texts: plain Latin text is split and looked up word by word, a batch at a time; only unseen words,
+    and texts with anything else in them, go to the tokenizer itself. Words are found by hash and then compared."""
 
     MOST = 1_000_000
     FIRST_OTHER = 0x250
+    #: Characters of a word that may be looked up.
+    LONGEST = 32
+    #: Characters of a batch.
+    BATCH = 1 << 19
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,24 +58,18 @@ class WordIds:
         category = [unicodedata.category(chr(c))[0] for c in range(self.FIRST_OTHER)]
         self.kind = np.array([{"L": 1, "N": 2}.get(k, 3) for k in category], np.int8)
         self.kind[[*range(9, 14), 0x20, 0x85, 0xA0]] = 0
-        self.value = np.random.default_rng(5).integers(1, 1 << 63, self.FIRST_OTHER, dtype=np.uint64)
         self.special = re.compile(f"[İ{chr(self.FIRST_OTHER)}-\U0010ffff]").search
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
+        self.words: list[str] = []
         self.first = np.zeros(1, np.int64)  # where each known word's ids begin
         self.ids = np.zeros(0, np.uint32)
 
     def _plain(self, text: str) -> bool:
         """Words are runs of one kind: no contractions, no special tokens, one code point for each lower-case letter."""
-        if "<|" in text or "'" in text or len(text) > SEGMENT // 4:
-            return False
-        try:
-            text.encode("latin-1")
-            return True
-        except UnicodeEncodeError:
-            return not self.special(text)
+        return "<|" not in text and "'" not in text and (text.isascii() or not self.special(text))
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         parts = [self.ids]
@@ -84,35 +82,57 @@ class WordIds:
                 raise ValueError("the vocabulary doesn't mark the ends of words")
             lengths.append(np.diff(cut, prepend=0))
             parts.append(ids)
-        n = len(self.first) - 1
+        n = len(self.words)
         self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.words += words
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))))
         self.ids = np.concatenate(parts)
 
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _batch(self, texts: list[str]) -> list[bytes]:
         low = "\n".join(texts).lower()
-        code = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        code = np.frombuffer(low.encode("utf-16-le"), np.uint16)
         kind = self.kind[code]
         change = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
         begin = np.concatenate(([0], change)).astype(np.int64)
         end = np.concatenate((change, [len(code)])).astype(np.int64)
         word = kind[begin] > 0
         begin, end = begin[word], end[word]
-        hashes = pieces(prefix(code, self.value), begin, end)
+        size = end - begin
+        parts = list(lanes(code.view(np.uint8), 2 * begin, 2 * np.minimum(size, self.LONGEST), 2 * self.LONGEST))
+        hashes = size.astype(np.uint64)
+        for at, value in parts:
+            hashes[at] = mix(hashes[at] ^ value)
         values, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # a hash only proposes: words must equal the first of their hash here, and that one the known word
+        bad = (size > self.LONGEST) | (size != size[at][which])
+        for held, value in parts:
+            whole = np.zeros(len(size), np.uint64)
+            whole[held] = value
+            bad |= whole != whole[at][which]
         if len(self.known) + len(values) > self.MOST:
             self._forget()
         listed = values.tolist()
+        words = [low[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
         missing = [i for i, h in enumerate(listed) if h not in self.known]
         if missing:
-            self._learn([listed[i] for i in missing], [low[begin[j] : end[j]] for j in at[missing].tolist()])
-        number = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[which]
+            self._learn([listed[i] for i in missing], [words[i] for i in missing])
+        number = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
+        wrong = [i for i, (w, n) in enumerate(zip(words, number.tolist(), strict=True)) if w != self.words[n]]
+        if wrong:
+            bad |= np.isin(which, wrong)
+        number = number[which]
         first, size = self.first[number], self.first[number + 1] - self.first[number]
         after = np.cumsum(size)
         raw = self.ids[np.repeat(first - after + size, size) + np.arange(after[-1] if len(after) else 0)].astype("<u4").tobytes()
         ends = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         cut = (4 * np.concatenate(([0], after))[np.searchsorted(begin, ends)]).tolist()
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i in np.unique(np.searchsorted(ends, begin[bad], "right") - 1).tolist():
+            out[i] = self._direct(texts[i])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -120,9 +140,9 @@ class WordIds:
         held, size = [], 0
         for i, t in enumerate(texts):
             if not self._plain(t):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = self._direct(t)
                 continue
-            if held and size + len(t) + 1 > SEGMENT // 2:
+            if held and size + len(t) + 1 > self.BATCH:
                 for j, raw in zip(held, self._batch([texts[j] for j in held]), strict=True):
                     out[j] = raw
                 held, size = [], 0
@@ -185,7 +205,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = 4096, slack: int = 16) -> DataFrame:
     """pieces with sequence_id and offset (gapless from 0 in each sequence). A bin with at most `slack` tokens of room is nearly full."""
     pieces = materialize(pieces, "pieces")
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())  # spreads rows that repeat; pieces are a table, so a retry numbers them alike
     full = pieces.filter(F.col("length") == capacity)
     rest = pieces.filter(F.col("length") < capacity)
     n = rest.count()

@@ -1,13 +1,28 @@
-"""Vectorised hashes over bytes: polynomial prefix sums modulo 2**64 with a random value for each byte."""
+"""Vectorised hashes over bytes: of words, of word shingles, and polynomial ones of q-grams."""
 
 from __future__ import annotations
 
 import functools
 
 import numpy as np
+import xxhash
 
+#: Words of at most this many bytes are hashed by vector operations.
+SHORT = 32
+#: Positions that the polynomial prefix sums reach.
 SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: Keeps the first 0 to 8 bytes of a little-endian value.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        return h ^ (h >> np.uint64(33))
 
 
 @functools.cache
@@ -25,70 +40,46 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, powers, inverses
 
 
-def prefix(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """s with s[i] = sum of value(data[j]) * base**j for j < i, at most SEGMENT bytes."""
+def prefix(data: np.ndarray) -> np.ndarray:
+    """s with s[i] = sum of value(data[j]) * base**j for j < i, at most SEGMENT bytes. Modulo 2**64: good to choose among
+    q-grams and to bucket them, never to tell strings apart."""
     table, powers, _ = tables()
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((table if values is None else values)[data] * powers[: len(data)], out=out[1:])
+        np.cumsum(table[data] * powers[: len(data)], out=out[1:])
     return out
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-        return h ^ (h >> np.uint64(33))
+def lanes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = SHORT):
+    """For k = 0, 1, ...: places of the runs longer than 8 * k bytes and those runs' next 8 bytes as one value, zeros after
+    their end. Runs start at begin and have size bytes; only their first `most` bytes are looked at."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    for k in range(0, most, 8):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            return
+        yield at, eights[begin[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]
 
 
-def pieces(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each [start, end)."""
-    _, _, inverses = tables()
+def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each [begin, end): one to one for sizes up to 8, xxh3 for long ones."""
+    size = end - begin
     with np.errstate(over="ignore"):
-        return mix((s[end] - s[start]) * inverses[start] + (end - start).astype(np.uint64))
-
-
-@functools.cache
-def _lower() -> np.ndarray:
-    """Byte values with A-Z as a-z."""
-    values = tables()[0].copy()
-    values[65:91] = values[97:123]
-    return values
+        out = size.astype(np.uint64) * _BASE
+    for at, value in lanes(data, begin, size):
+        out[at] = mix(out[at] ^ value)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return out
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start byte, hash) of every run outside \\x20 and \\x09-\\x0D; A-Z count as a-z."""
-    starts, hashes, at, n = [], [], 0, len(data)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
-    while at < n:
-        end = min(n, at + SEGMENT)
-        if end < n and not gap[end]:
-            cut = np.flatnonzero(gap[at:end])
-            if len(cut) and cut[-1]:
-                end = at + int(cut[-1])
-            else:  # a word longer than a segment: hash it by parts
-                rest = np.flatnonzero(gap[end:])
-                stop = end + int(rest[0]) if len(rest) else n
-                first = at + (1 if gap[at] else 0)
-                h = np.uint64(stop - first)
-                for k in range(first, stop, SEGMENT):
-                    part = data[k : min(stop, k + SEGMENT)]
-                    with np.errstate(over="ignore"):
-                        h = mix(np.array([h * np.uint64(31) + prefix(part, _lower())[-1]], np.uint64))[0]
-                starts.append(np.array([first]))
-                hashes.append(np.array([h], np.uint64))
-                at = stop
-                continue
-        g = gap[at:end]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], g, [True])).astype(np.int8)))
-        begin, finish = edge[0::2], edge[1::2]
-        s = prefix(data[at:end], _lower())
-        starts.append(begin + at)
-        hashes.append(pieces(s, begin, finish))
-        at = end
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+    begin, end = edge[0::2], edge[1::2]
+    return begin, run_hashes(_LOWER[data], begin, end)
 
 
 def separated(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -116,3 +116,12 @@ def test_null_repeated_and_int_doc_ids(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in kept) == want
     assert {(r.doc_id, r.text) for r in kept} <= set(rows)
+
+
+def test_long_words_of_a_kind_do_not_link(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, a)]
+    got = {r.doc_id: r.component_id for r in J.similar_texts(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), 4, 85)["documents"].collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

@@ -62,3 +62,15 @@ def test_ties_and_items_that_cannot_share(spark, monkeypatch, sizes):
     got = P.pack(rows, 100).collect()
     assert len(got) == len(sizes)
     assert valid(got, 100) <= (700 if 60 in sizes else 1.2 * sum(sizes) / 100)
+
+
+def test_words_of_one_hash_and_long_texts(monkeypatch):
+    t = Tokenizer.from_file(PATH)
+    want = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    spec = open(PATH, encoding="utf-8").read()
+    monkeypatch.setattr(P, "mix", lambda h: h & np.uint64(7))  # most words share a hash
+    part = ["cat runs far", "dog sits here", "cat sits", "a" * 100 + " b " + "é" * 40]
+    assert P.WordIds(spec).encode(part) == P.WordIds(spec).encode(part[::-1])[::-1] == [want(x) for x in part]
+    monkeypatch.undo()
+    long = " ".join(f"word{i % 5000} x" for i in range(60_000))
+    assert len(long) > P.WordIds.BATCH and P.WordIds(spec).encode([long]) == [want(long)]
