@@ -48,7 +48,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,16 @@ ORACLES = {
                  coalesce(string_agg(a || ':' || (a + length(m.text)), ',' order by turn, who, m.text) filter (where who = speaker), '') as mask from m group by conv_id, speaker, part)
     select conv_id, speaker, part, coalesce(sum(length(text)) over (partition by conv_id, speaker order by part rows between unbounded preceding and 1 preceding), 0)::bigint as start, text, mask from g""",
     "op5_bloom_cascade": _urls_sql(),
+    "op7_suffix_dedup": """with h as (select doc_id, row_number() over () as r, hex(encode(coalesce(text, ''))) as x from documents),
+    w as (select r, i, md5_number(x[2 * i + 1 : 2 * i + 800]) as m from (select r, x, unnest(range(0, length(x) // 2 - 399)) as i from h)),
+    c as (select r, i from (select r, i, count(*) over (partition by m) as n from w) where n > 1),
+    s as (select r, lo, max(i) + 400 as hi from (select r, i, max(new) over (partition by r order by i) as lo from (
+        select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then null else i end as new from c)) group by r, lo),
+    k as (select r, coalesce(lag(hi) over (partition by r order by lo), 0) as a, lo as b, hi from s),
+    p as (select r, string_agg(x[2 * a + 1 : 2 * b], '' order by a) as head, max(hi) as hi, sum(hi - b)::bigint as n_removed, count(*) as n_spans from k join h using (r) group by r),
+    o as (select doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, case when hi is null then x else coalesce(head, '') || x[2 * hi + 1 :] end as y from h left join p using (r))
+    select doc_id, n_bytes, n_removed, n_spans, sha256(unhex(y)) as kept_sha256,
+      decode(unhex(regexp_replace(y, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', '\\1', 'g'))) as text from o""",
     "op8_secret_ledger": _secrets_sql(),
     "op10_jaccard_join": f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
     l as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) as l from w),

@@ -187,7 +187,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, kept binary, n_bytes, n_removed, spans array<struct<lo, hi>>): texts without their repeated bytes."""
+    """(doc_id, kept binary, text, n_bytes, n_removed, spans array<struct<lo, hi>>): texts without their repeated bytes; in text,
+    what is left of a character that was cut in two is left out."""
     spark = docs.sparkSession
     rows = text_rows(docs)
     spans = materialize(repeated_spans(docs, length), "spans")
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     raw = F.col("text").cast("binary")
     flagged = rows.withColumn("touched", touched)
     none = F.array().cast("array<struct<lo:long,hi:long>>")
-    whole = flagged.filter("not touched").select("doc_id", raw.alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"))
+    whole = flagged.filter("not touched").select("doc_id", raw.alias("kept"), "text", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"))
 
     def run(batches):
         for batch in batches:
@@ -214,9 +215,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 removed.append(len(text) - len(kept[-1]))
                 merged.append([{"lo": lo, "hi": hi} for lo, hi in held])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                ["doc_id", "kept", "n_bytes", "n_removed", "spans"],
+                [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
+                ["doc_id", "kept", "text", "n_bytes", "n_removed", "spans"],
             )
 
-    cut = flagged.filter("touched").join(gathered, ["doc_id", "uid"], "left").select("doc_id", raw.alias("raw"), "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>")
+    cut = flagged.filter("touched").join(gathered, ["doc_id", "uid"], "left").select("doc_id", raw.alias("raw"), "spans").mapInArrow(run, "doc_id long, kept binary, text string, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>")
     return whole.unionByName(cut)

@@ -41,12 +41,13 @@ def corpus(seed, length):
     return rows + [(100, None), (101, ""), (102, rows[3][1]), (103, rows[3][1]), (3, rows[3][1]), (3, make(2 * length))]
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, 1 << 19), (2, 512)])
-def test_equals_brute_force(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize(("seed", "chunk", "length"), [(1, 1 << 19, 120), (2, 512, 120), (3, 1 << 19, 400)])
+def test_equals_brute_force(spark, monkeypatch, seed, chunk, length):
     monkeypatch.setattr(S, "_CHUNK", chunk)
-    rows = corpus(seed, 120)
-    got = S.remove_repeats(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, lo int"), 120)
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got.collect()) == brute(rows, 120)
+    rows = corpus(seed, length)
+    got = S.remove_repeats(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, lo int"), length).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute(rows, length)
+    assert all(r.text == bytes(r.kept).decode("utf-8", "ignore") for r in got)
 
 
 def test_empty_table(spark):
