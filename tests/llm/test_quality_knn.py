@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from hushframe.llm import quality_knn as Q
 
 
@@ -41,3 +43,35 @@ def test_empty_tables(spark):
     assert Q.scored(docs, Q.fit(docs, known)).count() == 0
     one = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert Q.scored(one, Q.fit(one, known)).first().score == 0.5
+
+
+def brute(model, texts, k):
+    """The vote of all sample rows as near as the k-th, by plain loops over a text's shares."""
+    out = []
+    for text in texts:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        shares = Q.term_shares(raw, np.array([0, len(raw)]))[0]
+        v = shares * model.idf / max(np.linalg.norm(shares * model.idf), 1e-12)
+        v = v @ model.axes
+        v /= max(np.linalg.norm(v), 1e-12)
+        near = [round(float(v @ x), 5) for x in model.vectors]
+        last = sorted(near)[-k]
+        votes = [(max(c, 0) ** Q.POWER, y) for c, y in zip(near, model.labels, strict=True) if c >= last]
+        total = sum(w for w, _ in votes)
+        out.append(sum(w * y for w, y in votes) / total if total and shares.any() else model.prior)
+    return out
+
+
+def test_votes_equal_brute_force_and_axes_span_the_sample(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, label string")
+    model = Q.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in Q.scored(docs, model).collect()}
+    want = brute(model, [r[1] for r in rows[:60]], Q.NEIGHBOURS)
+    assert np.allclose([got[i] for i in range(60)], want, atol=0.02)
+    # the axes hold as much of the sample as the best ones of their number, nearly
+    taken = [i for i, q, _ in labels if q is not None and i is not None and i < 300 and zlib.crc32(str(i).encode()) % 5]
+    shares = np.array([Q.term_shares(np.frombuffer(rows[i][1].encode(), np.uint8), np.array([0, len(rows[i][1].encode())]))[0] for i in dict.fromkeys(taken)])
+    weighted = model.weighted(shares)
+    best = (np.linalg.svd(weighted, compute_uv=False)[: Q.RANK] ** 2).sum()
+    assert (np.linalg.norm(weighted @ model.axes) ** 2) > 0.97 * best
