@@ -1,12 +1,16 @@
 """Mixing to target weights by soft membership.
 
-A naive Bayes classifier, learnt from the labelled table, gives every text's posteriors over domains. Its evidence is a
-handful of binned shares (signs, capitals, bars, repeated words, length) and of hits in a lexicon of the words that mark a
-domain. Projected gradient steps then fit a nonnegative rate for each document, so that the expected tokens of each
-domain, sum(rate * tokens * posterior), match the target weights: least squares over the residuals T_c(r) - t_c with
-r >= 0, from r = 1. The gradient is scaled by the inverse of the domains' second moments over documents with a positive
-rate, a matrix as small as the domains are few. A step needs those sums over the documents; rates are a function of
-posteriors and of the steps so far, so nothing is kept between steps but sums. All work is DataFrame functions.
+A naive Bayes classifier, learnt from the labelled table, gives every text's posteriors over domains. Its evidence is
+which word stems of a lexicon a text holds - those that mark a domain most surely by their log likelihood ratio; their log
+odds are summed for each domain and binned - and a few binned shares (signs, capitals, bars, repeated words, length).
+
+Distributed projected gradient then fits a nonnegative rate for each document, so that the expected tokens of each domain,
+sum(rate * tokens * posterior), match the target weights: least squares over the residuals T_c(r) - t_c with r >= 0, from
+r = 1. A step follows the gradient as it is, or scaled by the inverse of the domains' second moments over documents with a
+positive rate, a matrix as small as the domains are few; one pass sums all steps tried and the best is taken. Rates are a
+function of posteriors and of the steps so far, so nothing is kept between steps but sums. The fit ends when no residual
+is over TOLERANCE of all tokens, or when steps no longer help: targets that no nonnegative rates can meet end at the
+nearest found. What was reached is given out beside what was wanted. All work is DataFrame functions.
 
 Null texts count as empty: no tokens, never copied more or less than their posterior says. Repeated rows are documents
 each. Extra columns are ignored. Without labels all domains are equally likely. A target for a domain without any mass
@@ -21,13 +25,21 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import materialize
+from .common import drop, materialize
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
-#: Labelled texts that are learnt from, at most; words in the lexicon; evidence weight; steps at most; error that ends them.
-SAMPLE, LEXICON, EVIDENCE, STEPS, TOLERANCE = 20_000, 48, 0.5, 60, 1e-4
-_BINS = 8
+#: Labelled texts that are learnt from, at most; words in the lexicon; weight of binned shares; steps at most; error that ends them.
+SAMPLE, LEXICON, EVIDENCE, STEPS, TOLERANCE = 20_000, 256, 1.0, 40, 1e-4
+#: Least log likelihood ratio of a word in the lexicon, and its least log odds for a domain.
+SURE, ODDS = 30.0, 1.5
+#: Share of the error that a step must take away.
+HELPS = 0.01
+#: Lengths that are tried for a step.
+LENGTHS, PLAIN_LENGTHS = (2.0, 1.0, 0.5, 0.25, 0.125), (64.0, 16.0, 4.0, 1.0)
+#: Letters of a word that count.
+STEM = 5
+_BINS, _FEATURES = 8, 8
 _BETWEEN = r"[\s.,!?;:|\"()\[\]{}#$%&*+=@^~`<>/\\]+"
 
 
@@ -42,46 +54,70 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
+def _stems(words: Column) -> Column:
+    """The first letters of each word, once each: inflected words count as one."""
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, STEM)))
+
+
 def _log_bin(share: Column) -> Column:
     """0 for nothing, then halvings of the share: 7 for over a half."""
     return F.when(share <= 0, 0).otherwise(F.greatest(F.lit(1), F.lit(8) + F.floor(F.log2(share)))).cast("int")
 
 
-def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    """(doc_id, uid, tokens, bins): the text's words, and its evidence as bins."""
+def _log_odds_bin(odds: Column) -> Column:
+    """0 for none in favour, 1 to 8 by doubling from 2 on."""
+    return F.when(odds <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(_BINS), F.floor(F.log2(odds)) + 1))).cast("int")
+
+
+def features(docs: DataFrame, lexicon: dict[str, list[float]]) -> DataFrame:
+    """(doc_id, uid, tokens, bins): the text's words, and its evidence as bins: shares, and what the lexicon says for each domain."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("uid"), text.alias("text"))
     rows = rows.withColumn("words", _words(F.col("text"))).withColumn("n", F.greatest(F.length("text"), F.lit(1)))
     share = lambda signs: F.regexp_count("text", F.lit(signs)) / F.col("n")
-    known = F.array_distinct("words")
-    hits = F.size(F.array_intersect(known, F.array(*(F.lit(w) for w in lexicon)).cast("array<string>")))
+    known = _stems(F.col("words"))
+    listed = F.array(*(F.lit(w) for w in lexicon)).cast("array<string>")
+    weights = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in lexicon.values())).cast("array<array<double>>")
+    held = F.transform(F.array_intersect("stems", listed), lambda w: F.element_at(weights, F.array_position(listed, w).cast("int")))
+    none = F.array(*(F.lit(0.0) for _ in DOMAINS))
+    said = F.aggregate(held, none, lambda a, x: F.array(*(a[i] + x[i] for i in range(len(DOMAINS))))) if lexicon else none
     bins = F.array(
         _log_bin(share("!")),
         _log_bin(share("[#$%&*]")),
         _log_bin(share("[|]")),
         _log_bin(share("[A-Z]")),
-        _log_bin(F.lit(1.0) - F.size(known) / F.greatest(F.size("words"), F.lit(1))),
+        _log_bin(F.size("stems") / F.greatest(F.size("words"), F.lit(1))),
         F.least(F.floor(F.log2(F.size("words") + 1) / 2), F.lit(_BINS - 1)).cast("int"),
-        F.least(hits, F.lit(_BINS - 1)),
+        *(_log_odds_bin(F.element_at("said", d + 1) - F.element_at("said", 1)) for d in (1, 2)),
     )
-    return rows.select("doc_id", "uid", F.size("words").cast("long").alias("tokens"), bins.alias("bins"))
+    return rows.withColumn("stems", known).withColumn("said", said).select("doc_id", "uid", F.size("words").cast("long").alias("tokens"), bins.alias("bins"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame]:
-    """The words whose presence marks the last domain, and a bounded sample (doc_id, domain) of the labelled rows."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[float]], DataFrame]:
+    """The lexicon: words with their log odds against all texts for each domain; and a bounded sample (doc_id, domain) of the labelled rows."""
     known = domain_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id")
     n = {r.domain: r["count"] for r in held.groupBy("domain").count().collect()}
-    words = held.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    last = len(DOMAINS) - 1
-    inside = F.count(F.when(F.col("domain") == last, 1))
-    counts = words.groupBy("word").agg(inside.alias("a"), (F.count("*") - inside).alias("b")).filter("a >= 3")
-    a, b = n.get(last, 0), sum(n.values()) - n.get(last, 0)
-    # log odds, weighted by how much of the domain the word marks
-    ratio = F.log((F.col("a") + 0.5) / (a + 1.0)) - F.log((F.col("b") + 0.5) / (b + 1.0))
-    marked = counts.withColumn("odds", ratio).filter("odds > 1.5").orderBy(F.desc(F.col("odds") * F.col("a")), "word").limit(LEXICON)
-    return sorted(r.word for r in marked.collect()), known
+    words = held.select("domain", F.explode(_stems(_words(F.col("text")))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{d}") for d in range(len(DOMAINS))))
+    total = sum(n.values())
+    pooled = F.log((F.col("all") + 0.5) / (total + 1.0))
+    odds = [F.log((F.col(f"n{d}") + 0.5) / (n.get(d, 0) + 1.0)) - pooled for d in range(len(DOMAINS))]
+
+    def ratio(d: int) -> Column:
+        """The log likelihood ratio for a word that a domain's texts hold more often than others; 0 else."""
+        part = lambda seen, hoped: F.when(seen > 0, seen * F.log(seen / hoped)).otherwise(0.0)
+        a, m = F.col(f"n{d}").cast("double"), n.get(d, 0)
+        b, c, rest = F.col("all") - a, m - a, total - m - F.col("all") + a
+        share = F.col("all") / total
+        hoped = [m * share, (total - m) * share, m * (1 - share), (total - m) * (1 - share)]
+        g = sum((part(x, h) for x, h in zip((a, b, c, rest), hoped, strict=True)), F.lit(0.0))
+        return F.when(odds[d] > ODDS, 2 * g).otherwise(0.0)
+
+    marked = counts.filter("all >= 3").withColumn("sure", F.greatest(*(ratio(d) for d in range(len(DOMAINS))))).filter(F.col("sure") > SURE)
+    top = marked.orderBy(F.desc("sure"), "word").limit(LEXICON).select("word", *(o.alias(f"o{d}") for d, o in enumerate(odds)))
+    return {r.word: [r[f"o{d}"] for d in range(len(DOMAINS))] for r in top.collect()}, known
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -96,9 +132,9 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     logs = []
     for d in range(len(DOMAINS)):
         score = F.lit(math.log((total[d] + 1) / (seen + len(DOMAINS))))
-        for f in range(7):
+        for f in range(_FEATURES):
             row = F.array(*(F.lit(math.log((table.get((d, f, b), 0) + 0.5) / (total[d] + 0.5 * width))) for b in range(width)))
-            score = score + EVIDENCE * F.element_at(row, F.element_at("bins", f + 1) + 1)
+            score = score + (EVIDENCE if f < _FEATURES - 2 else 1.0) * F.element_at(row, F.element_at("bins", f + 1) + 1)
         logs.append(score)
     rows = rows.withColumn("logs", F.array(*logs)).withColumn("logs", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))))
     whole = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x)
@@ -115,43 +151,52 @@ def _rate(steps: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], thin: bool = False) -> tuple[DataFrame, dict]:
-    """rows with rate, and what was reached: expected tokens by domain, the wanted ones, and the steps.
+    """rows with rate, and what was reached: expected tokens by domain, the wanted ones, the steps, and whether the targets are met.
 
-    thin: targets of all domains but the first are upper bounds; none is raised above its present share."""
+    thin: targets of all domains but the first are upper bounds; none is raised above its present share, and the first
+    domain's tokens stay as they are: the others are thinned out to their share of the whole."""
     rows = materialize(rows, "posteriors")
     d = len(DOMAINS)
     p = [F.element_at("p", c + 1) for c in range(d)]
 
-    def sums(steps):
-        """Expected tokens by domain, and the domains' second moments over documents with a positive rate."""
-        live = rows.withColumn("r", _rate(steps))
-        active = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
-        got = live.agg(*(F.sum(F.col("r") * F.col("tokens") * x) for x in p), *(F.sum(active * x * y) for x in p for y in p)).first()
-        got = np.array([x or 0.0 for x in got])
-        return got[:d], got[d:].reshape(d, d)
-
-    reached, moments = sums([])
-    mass = reached
+    def sums(steps: list[list[float]], tried: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each step tried after steps: expected tokens by domain, and the domains' second moments over documents with a positive rate."""
+        after = lambda step: F.greatest(F.lit(0.0), F.col("r") - sum((F.lit(x) * y for x, y in zip(step, p, strict=True)), F.lit(0.0)))
+        live = rows.withColumn("r", _rate(steps)).select("tokens", "p", *(after(step).alias(f"r{i}") for i, step in enumerate(tried)))
+        wanted = []
+        for i in range(len(tried)):
+            r = F.col(f"r{i}")
+            wanted += [F.sum(r * F.col("tokens") * x) for x in p] + [F.sum(F.when(r > 0, F.col("tokens") * p[a] * p[b]).otherwise(0)) for a in range(d) for b in range(d)]
+        got = np.array([x or 0.0 for x in live.agg(*wanted).first()]).reshape(len(tried), d + d * d)
+        return [(x[:d], x[d:].reshape(d, d)) for x in got]
+
+    ((mass, every),) = sums([], [[0.0] * d])
+    reached, moments = mass, every
+    total = mass.sum()
     weight = np.array([targets.get(x, 0.0) if m > 0 else 0.0 for x, m in zip(DOMAINS, mass, strict=True)])
-    if thin and mass.sum() > 0 and weight.sum() > 0:
+    wanted = np.zeros(d)
+    if total > 0 and weight.sum() > 0:
         weight = weight / weight.sum()
-        weight[1:] = np.minimum(weight[1:], mass[1:] / mass.sum())
-        weight[0] = 1 - weight[1:].sum() if mass[0] > 0 else 0.0
-    wanted = weight / weight.sum() * mass.sum() if weight.sum() > 0 else np.zeros(d)
-    steps: list[list[float]] = []
-    size = 1.0
-    while mass.sum() and len(steps) < STEPS and np.abs(reached - wanted).max() > TOLERANCE * mass.sum():
-        step = (np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ (reached - wanted)) * size
-        now, then = sums([*steps, step.tolist()])
-        if np.linalg.norm(now - wanted) < np.linalg.norm(reached - wanted):
-            steps.append(step.tolist())
-            reached, moments = now, then
-            size = min(1.0, 2 * size)
-        elif size > 1e-3:
-            size /= 2
+        if thin and mass[0] > 0 and weight[0] > 0:
+            wanted = np.minimum(mass, mass[0] / weight[0] * weight)
+            wanted[0] = mass[0]
         else:
+            wanted = weight * total
+    steps: list[list[float]] = []
+    while total and len(steps) < STEPS and np.abs(reached - wanted).max() > TOLERANCE * total:
+        # the gradient in the metric of the active documents, and as it is: the first is fast, the second surely helps
+        left = reached - wanted
+        fast, plain = np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ left, left / max(np.linalg.norm(every, 2), 1e-300)
+        tries = [(step * x).tolist() for step, lengths in ((fast, LENGTHS), (plain, PLAIN_LENGTHS)) for x in lengths]
+        tried = sums(steps, tries)
+        error = [float(np.linalg.norm(got - wanted)) for got, _ in tried]
+        i = int(np.argmin(error))
+        if error[i] > (1 - HELPS) * float(np.linalg.norm(left)):
             break
-    said = {"reached": dict(zip(DOMAINS, reached.tolist(), strict=True)), "wanted": dict(zip(DOMAINS, wanted.tolist(), strict=True)), "steps": steps}
+        steps.append(tries[i])
+        reached, moments = tried[i]
+    met = not total or bool(np.abs(reached - wanted).max() <= TOLERANCE * total)
+    said = {"reached": dict(zip(DOMAINS, reached.tolist(), strict=True)), "wanted": dict(zip(DOMAINS, wanted.tolist(), strict=True)), "steps": steps, "met": met}
     return rows.withColumn("rate", _rate(steps)), said
 
 

@@ -41,9 +41,12 @@ def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out, said = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     domains = [F.element_at("p", i + 1).alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
-    return out.select("doc_id", "tokens", *domains, "rate", "copies")
+    # what was reached against what was wanted, as shares of all expected tokens
+    whole = max(sum(said["wanted"].values()), 1.0)
+    reached = [F.lit(float(said["reached"][name] / whole)).alias(f"reached_{name}") for name in mixing.DOMAINS]
+    return out.select("doc_id", "tokens", *domains, "rate", "copies", *reached, F.lit(said["met"]).alias("met"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

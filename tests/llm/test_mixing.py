@@ -58,3 +58,23 @@ def test_copies_and_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert M.mixed(none, known)[0].count() == 0
     assert M.mixed(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))[0].count() == 101
+
+
+def test_targets_out_of_reach_end_near_the_best(spark):
+    r = np.random.default_rng(4)
+    p = r.dirichlet([2, 1, 1], 80)
+    n = r.integers(1, 90, 80)
+    rows = spark.createDataFrame([(i, i, int(n[i]), p[i].tolist()) for i in range(80)], "doc_id long, uid long, tokens long, p array<double>")
+    for targets, thin in (({"clean": 1.0}, False), ({"clean": 0.98, "low": 0.01, "toxic": 0.01}, True), ({"clean": 0.2, "low": 0.7, "toxic": 0.1}, False)):
+        out, said = M.fit_rates(rows, targets, thin)
+        wanted = np.array(list(said["wanted"].values()))
+        got = out.collect()
+        reached = sum(x.rate * x.tokens * np.array(x.p) for x in got)
+        assert np.allclose(reached, list(said["reached"].values())) and min(x.rate for x in got) >= 0
+        rate, a = np.ones(80), p * n[:, None]  # plain projected gradient, very many steps
+        for _ in range(40_000):
+            rate = np.maximum(0, rate - a @ (rate @ a - wanted) / np.linalg.norm(a, 2) ** 2)
+        best = np.linalg.norm(rate @ a - wanted)
+        assert said["met"] == bool(np.abs(reached - wanted).max() <= M.TOLERANCE * (p * n[:, None]).sum())
+        assert said["met"] or np.linalg.norm(reached - wanted) <= 1.25 * best + 0.01 * n.sum()
+        assert best > 1e-3 * n.sum() or said["met"]
