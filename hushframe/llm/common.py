@@ -131,8 +131,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         return out.filter("a <> b").distinct()
 
     e = edges.select("a", "b").filter("a <> b")
-    for _ in range(max_rounds):
-        e = materialize(star(star(e, True), False), "star")
+    for turn in range(max_rounds):
+        old, e = e, materialize(star(star(e, True), False), "star")
+        if turn:
+            drop(old)
         # settled: each node has one edge, and none that a node points to has an edge of its own
         ends = e.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("met")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("own"), F.lit(1).alias("met")))
         if not ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("met").alias("met")).filter("own + met > 1").count():

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import connected_components, id_bitmap, in_bitmap, materialize, slices, text_rows, utf8_batch
+from .common import connected_components, drop, id_bitmap, in_bitmap, materialize, slices, text_rows, utf8_batch
 from .rolling import mix, shingle_sets
 
 #: Rows that a tile holds at most; larger buckets are dealt out over pairs of chunks.
@@ -264,11 +264,11 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
     return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
-def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """wanted (node, ...) with the text of a row that represents the node."""
+def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """wanted (node, ...) with the text of a row that represents the node; and a table to drop when they are read."""
     reps = materialize(nodes.select("node", F.col("doc_id").alias("rep_id"), F.col("uid").alias("rep_uid")).join(wanted, "node"), f"{name}-wanted")
     near = rows.filter(in_bitmap(rows.sparkSession, id_bitmap(reps, "rep_uid"), "uid"))
-    return near.join(reps, (F.col("uid") == F.col("rep_uid")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).dropDuplicates(["node"])
+    return near.join(reps, (F.col("uid") == F.col("rep_uid")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).dropDuplicates(["node"]), reps
 
 
 def _with_shingles(texts: DataFrame, k: int, keep: list[str]) -> DataFrame:
@@ -285,17 +285,22 @@ def _with_shingles(texts: DataFrame, k: int, keep: list[str]) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets pass exactly."""
+    """The pairs (a, b) whose shingle sets pass exactly, as a table."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_with_shingles(_texts(wanted, nodes, rows, name), k, ["node"]), f"{name}-sets")
+    texts, reps = _texts(wanted, nodes, rows, name)
+    sets = materialize(_with_shingles(texts, k, ["node"]), f"{name}-sets")
+    drop(reps)
     both = F.size(F.array_intersect("x", "y"))
-    return (
+    out = materialize(
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .select("a", "b", both.alias("both"), F.size("x").alias("na"), F.size("y").alias("nb"))
         .filter(100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")))
-        .select("a", "b")
+        .select("a", "b"),
+        f"{name}-links",
     )
+    drop(sets)
+    return out
 
 
 def _cell_links(node: np.ndarray, chunk: np.ndarray, offsets: np.ndarray, flat: np.ndarray, similarity: int):
@@ -327,8 +332,9 @@ def _every_link(links: DataFrame, roots: DataFrame, nodes: DataFrame, rows: Data
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = roots.join(sized.filter("m > 2").select("root", "chunks"), "root")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    texts, reps = _texts(wanted, nodes, rows, "every")
     cells = (
-        _with_shingles(_texts(wanted, nodes, rows, "every"), k, ["node", "root", "chunks"])
+        _with_shingles(texts, k, ["node", "root", "chunks"])
         .select("root", "node", "shingles", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
         .select("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", F.size("shingles").alias("n"), "node", "shingles")
     )
@@ -368,7 +374,10 @@ def _every_link(links: DataFrame, roots: DataFrame, nodes: DataFrame, rows: Data
         if held:
             yield from found()
 
-    return pairs.union(cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "chunk", "n").mapInArrow(run, "a long, b long"))
+    found = cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "chunk", "n").mapInArrow(run, "a long, b long")
+    out = materialize(pairs.union(found), "every-link")
+    drop(reps, sized)
+    return out
 
 
 def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_only: bool = False) -> dict[str, DataFrame]:
@@ -395,9 +404,12 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
 
     star = buckets.filter("hub <> node")
     nearest = star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = materialize(_linked(materialize(_bounded(nearest, nodes, similarity), "near-pairs"), nodes, rows, k, similarity, "near"), "links")
+    near = materialize(_bounded(nearest, nodes, similarity), "near-pairs")
+    links = _linked(near, nodes, rows, k, similarity, "near")
+    drop(near)
     roots = materialize(connected_components(links), "roots")
 
+    tried = None
     # what is still apart: first each set with its nearest in a tile, which joins most groups, then every pair
     for turn, nearest in (("close", True), ("rest", False)):
         placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -412,21 +424,25 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
         held = many.select("node").distinct().withColumn("tokens", tokens) if nearest else many.groupBy("node").agg(tokens.alias("tokens"))
         wide = many.join(held.join(nodes.select("node", "bitmap"), "node"), "node")
         rest = pairs.union(_tiles(wide, similarity, nearest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if not nearest:
-            rest = rest.join(tried, ["a", "b"], "left_anti")
+        before = tried
+        if before is not None:
+            rest = rest.join(before, ["a", "b"], "left_anti")
         tried = materialize(rest, f"{turn}-tried")
-        more = materialize(_linked(tried, nodes, rows, k, similarity, turn), turn)
+        drop(mixed, *([before] if before is not None else ()))
+        more = _linked(tried, nodes, rows, k, similarity, turn)
         links = links.union(more)
         # what was connected before stays so through its roots
         known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        roots = materialize(connected_components(known.union(more)), "roots")
+        old, roots = roots, materialize(connected_components(known.union(more)), "roots")
+        drop(old)
+    drop(buckets, tried)
 
     placed = found.select("doc_id", "uid", "node", F.col("n").alias("n_shingles")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     documents = placed.join(least, "root", "left").select("doc_id", "uid", "node", "n_shingles", "root", F.coalesce("least", "doc_id").alias("component_id"))
     if components_only:
         return {"documents": documents}
-    links = materialize(_every_link(links, roots, nodes, rows, k, similarity), "every-link")
+    links = _every_link(links, roots, nodes, rows, k, similarity)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     degrees = materialize(ends.groupBy("node").agg(F.count("*").alias("n_links")), "degrees")
     return {"documents": documents.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "links": links}
