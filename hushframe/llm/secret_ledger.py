@@ -1,9 +1,11 @@
 """Secret scans through an incremental blob ledger.
 
-Texts are blobs, addressed by the SHA-256 of their content; rows (paths, versions) only point to them. A ledger holds
-the (blob, rule version) pairs scanned so far with their findings. A run scans only the pairs that the ledger lacks,
-and joins findings back to every row. All work is DataFrame functions: matches and their positions come from one
-regexp_replace that marks them and a split at the marks, so positions count code points.
+Texts are blobs, addressed by the SHA-256 of their content; rows (paths, versions) only point to them. A ledger holds every
+(blob, rule version) pair scanned so far with its findings, also if there are none. A run looks into the ledger first, scans
+only the pairs that it lacks, and joins findings back to every row. Of unseen texts, those without a rule's mark are known to
+be quiet where they stand; the others are gathered by blob, so that each is scanned once. All work is DataFrame functions:
+matches and their positions come from one regexp_replace that marks them and a split at the marks, so positions count code
+points.
 
 Null texts count as empty. Repeated rows each get their findings. Extra columns are ignored. An empty table gives an
 empty result.
@@ -63,47 +65,61 @@ def findings(text: Column, kinds=tuple(RULES)) -> Column:
     return F.array_sort(F.flatten(F.array(*(_matches(text, rank, kind) for rank, kind in enumerate(RULES) if kind in kinds))))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(rows, ledger): doc_id, blob, findings for every row; and the new ledger (blob, version, findings)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # texts that no rule can touch keep their address only; the others are grouped by it, one text for each
-    hints = F.lit(False)
+def _addressed(docs: DataFrame, ledger: DataFrame | None, version: str) -> DataFrame:
+    """docs with _text, _blob and _suspect: whether the ledger lacks the blob and a rule's mark stands in it."""
+    rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_blob", F.sha2(F.col("_text").cast("binary"), 256))
+    marks = F.lit(False)
     for _, _, _, hint in RULES.values():
-        hints = hints | F.col("text").rlike(hint)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("suspect", hints)
-    rows = rows.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    paths = materialize(rows.select("doc_id", "blob", "suspect", F.when(F.col("suspect"), F.col("text")).alias("text")), "paths")
-    unseen = paths.filter("suspect")
+        marks = marks | F.col("_text").rlike(hint)
+    if ledger is None:
+        return rows.withColumn("_suspect", marks)
+    known = ledger.filter(F.col("version") == version).select(F.col("blob").alias("_blob"), F.lit(True).alias("_known")).distinct()
+    return rows.join(known, "_blob", "left").withColumn("_suspect", F.when(F.col("_known"), False).otherwise(marks)).drop("_known")
+
+
+def _ledger(paths: DataFrame, ledger: DataFrame | None, version: str) -> DataFrame:
+    """The ledger with a row for every blob of paths (_blob, _suspect, _text of suspects)."""
+    blobs = paths.filter("_suspect").groupBy("_blob").agg(F.first("_text").alias("_text"))
+    loud = materialize(blobs.select(F.col("_blob").alias("blob"), F.lit(version).alias("version"), findings(F.col("_text")).alias("findings")), "ledger")
+    quiet = paths.filter("not _suspect").select(F.col("_blob").alias("blob")).distinct()
+    if ledger is not None:
+        quiet = quiet.join(ledger.filter(F.col("version") == version).select("blob"), "blob", "left_anti")
+    fresh = loud.unionByName(quiet.select("blob", F.lit(version).alias("version"), F.array().cast(_FINDINGS).alias("findings")))
+    return fresh if ledger is None else ledger.select("blob", "version", "findings").unionByName(fresh)
+
+
+def _found(paths: DataFrame, ledger: DataFrame | None, whole: DataFrame, version: str) -> DataFrame:
+    """paths (_blob, _suspect, ..) with _found. Without an older ledger quiet rows have none, and aren't joined."""
+    loud = whole.filter((F.col("version") == version) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
     if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("version") == version).select("blob"), "blob", "left_anti")
-    blobs = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = materialize(blobs.select("blob", F.lit(version).alias("version"), findings(F.col("text")).alias("findings")), "ledger")
-    whole = fresh if ledger is None else ledger.select("blob", "version", "findings").unionByName(fresh)
-    found = whole.filter((F.col("version") == version) & (F.size("findings") > 0)).select("blob", "findings")
-    none = F.array().cast(_FINDINGS).alias("findings")
-    quiet = paths.filter("not suspect").select("doc_id", "blob", none)
-    loud = paths.filter("suspect").select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
-    return quiet.unionByName(loud), whole
-
-
-def without_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+        return paths.join(loud, "_blob", "left")
+    quiet = paths.filter("not _suspect").withColumn("_found", F.lit(None).cast(_FINDINGS))
+    return quiet.unionByName(paths.filter("_suspect").join(loud, "_blob", "left"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(rows, ledger): doc_id, blob, findings for every row; and the new ledger (blob, version, findings)."""
+    rows = _addressed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ledger, version)
+    paths = materialize(rows.select("doc_id", "_blob", "_suspect", F.when(F.col("_suspect"), F.col("_text")).alias("_text")), "paths")
+    whole = _ledger(paths, ledger, version)
+    out = _found(paths.select("doc_id", "_blob", "_suspect"), ledger, whole, version)
+    return out.select("doc_id", F.col("_blob").alias("blob"), F.coalesce("_found", F.array().cast(_FINDINGS)).alias("findings")), whole
+
+
+def without_secrets(docs: DataFrame, mask: str = "[SECRET]", ledger: DataFrame | None = None, version: str = RULE_VERSION) -> DataFrame:
     """docs with every found span replaced by the mask; all rows and columns stay."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.withColumn("_blob", F.sha2(text.cast("binary"), 256))
-    rows, ledger = scan(docs)
-    found = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, f):
-        # spans are sorted; one that lies within what is masked already adds nothing
-        begin = F.greatest(acc["at"], f["start"])
-        return F.when(
-            f["end"] > acc["at"],
-            F.struct(f["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, begin - acc["at"]), F.when(f["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out")),
-        ).otherwise(acc)
-
-    masked = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = own.join(found, "_blob", "left").withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(masked))
+    rows = materialize(_addressed(docs, ledger, version).withColumn("_text", F.when(F.col("_suspect"), F.col("_text"))), "addressed")
+    whole = _ledger(rows.select("_blob", "_suspect", "_text"), ledger, version)
+    out = _found(rows.drop("_text"), ledger, whole, version)
+
+    def masked(found):
+        """Spans are sorted; what lies within a masked place already is not masked again."""
+        reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(found, F.lit(1), i), lambda f: f["end"])), F.lit(0))  # noqa: E731  end of all before
+        cut = lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))
+        parts = F.transform(found, lambda f, i: F.concat(cut(reach(i), f["start"]), F.when(f["start"] >= reach(i), F.lit(mask)).otherwise(F.lit(""))))
+        return F.concat(F.array_join(parts, ""), cut(reach(F.size(found)), F.length("text")))
+
+    out = out.withColumn("text", F.when(F.size("_found") > 0, masked(F.col("_found"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
