@@ -18,7 +18,21 @@ def find_all(text: Column, pattern: str | Column, groups_before: int = 0) -> Col
     value = f"${groups_before + 1}" if groups_before else "$0"
     marked = F.regexp_replace(F.translate(text, _MARK, "\x02"), pattern, f"{before}{_MARK}{value}{_MARK}")
     sizes = F.transform(F.split(marked, _MARK), lambda p: F.length(p))
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("found"))
+    return let(sizes, lambda n: F.when(F.size(n) <= BLOCK, _placed(n, F.lit(0))).otherwise(_placed_by_blocks(n)))
+
+
+#: Parts of a marked text that are placed together; an even number, so that every block begins outside a match.
+BLOCK = 512
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where use has it within a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(sizes: Column, at: Column) -> Column:
+    """Spans of every second of the sizes, from a place on."""
+    start = F.struct(at.alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("found"))
 
     def step(acc, n):
         span = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))
@@ -28,6 +42,18 @@ def find_all(text: Column, pattern: str | Column, groups_before: int = 0) -> Col
     return F.aggregate(sizes, start, step, lambda acc: acc["found"])
 
 
+def _placed_by_blocks(sizes: Column) -> Column:
+    """The same for many sizes: blocks get their places first, so that no long array is copied for each match."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def add(acc, block):
+        whole = F.aggregate(block, F.lit(0), lambda a, n: a + n)
+        return F.struct((acc["at"] + whole).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return let(blocks, lambda b: F.flatten(F.zip_with(b, F.aggregate(b, none, add, lambda acc: acc["starts"]), _placed)).cast(SPAN))
+
+
 def occurrences(text: Column, needle: Column, most: int = 20) -> Column:
     """Every place, overlapping ones too, where the needle stands: at most `most` spans."""
     n = F.length(needle)
@@ -42,5 +68,26 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
-    """text with disjoint edits (start, end, replacement), in order of start, put in place back to front."""
-    return F.aggregate(F.reverse(edits), text, lambda t, e: F.overlay(t, e["replacement"], e["start"] + 1, e["end"] - e["start"]))
+    """text with disjoint edits (start, end, replacement), in order of start, put in place."""
+
+    def put(e):
+        before = F.transform(e, lambda x, i: F.concat(_cut(text, F.when(i == 0, 0).otherwise(F.try_element_at(e, i)["end"]), x["start"]), x["replacement"]))
+        last = F.coalesce(F.try_element_at(e, F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.array_join(before, ""), F.substring(text, last + 1, F.length(text)))
+
+    return let(edits, put)
+
+
+def _cut(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
+
+
+def edits_error(text: Column, edits: Column) -> Column:
+    """'span_conflict' if an edit lies outside the text, is empty or overlaps the one before; else null."""
+    bad = lambda e: F.exists(F.transform(e, lambda x, i: (x["start"] < 0) | (x["end"] > F.length(text)) | (x["start"] >= x["end"]) | ((i > 0) & (F.coalesce(F.try_element_at(e, i)["end"], F.lit(0)) > x["start"]))), lambda b: b)
+    return F.when(let(edits, bad), "span_conflict")
+
+
+def span_error(start: Column, end: Column) -> Column:
+    """A span has both ends or neither, begins at 0 or later and is not empty; else 'span_incoherent'."""
+    return F.when(start.isNull() != end.isNull(), "span_incoherent").when((start < 0) | (end <= start), "span_incoherent")

@@ -37,6 +37,18 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), _normal("NFKC")(text)).otherwise(text)
 
 
+def nfkc_each(values: Column) -> Column:
+    """NFKC of each string of an array; Python only gets arrays that hold more than ASCII."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda row: [None if x is None else unicodedata.normalize("NFKC", x) for x in row], na_action="ignore")
+
+    wide = F.exists(values, lambda x: x.rlike(r"[^\x00-\x7f]"))
+    # marked so that plans keep it where it stands and run it once
+    return F.coalesce(run.asNondeterministic()(F.when(wide, values)), values)
+
+
 def safe_filename(name: Column) -> Column:
     """The last part of a path of either kind, without NUL, at most 128 characters."""
     return F.left(F.regexp_replace(F.regexp_replace(F.translate(name, "\\", "/"), "^.*/", ""), "\x00", ""), F.lit(128))
@@ -68,17 +80,22 @@ def redact_log(message: Column) -> Column:
     return message
 
 
-def token(entity_type: Column, number: Column) -> Column:
-    """The token whose suffix spells a number; production mints random numbers, queries use ranks."""
-    alphabet = F.lit(TOKEN_ALPHABET)
-    digit = lambda i: F.substring(alphabet, (F.floor(number / F.lit(float(32**i))) % 32 + 1).cast("int"), F.lit(1))
+def keyed_token(entity_type: Column, number_hex: Column) -> Column:
+    """The token whose suffix spells the first 60 bits of a hex digest."""
+    number = F.conv(F.left(number_hex, F.lit(15)), 16, 10).cast("long")
+    digit = lambda i: F.substring(F.lit(TOKEN_ALPHABET), (F.shiftrightunsigned(number, 5 * i).bitwiseAND(31) + 1).cast("int"), F.lit(1))
     return F.concat(F.lit(f"[[{TOKEN_PREFIX}_"), entity_type, F.lit("_"), *(digit(i) for i in reversed(range(TOKEN_LENGTH))), F.lit("]]"))
 
 
 def canonical(value: Column, entity_type: Column) -> Column:
     """What counts as the same value: NFKC, stripped, no space between CJK characters; then by type."""
+    return canonical_of_normal(nfkc(value), entity_type)
+
+
+def canonical_of_normal(value: Column, entity_type: Column) -> Column:
+    """The same for a value in NFKC."""
     cjk = "㐀-鿿豈-﫿"
-    text = F.regexp_replace(strip(nfkc(value)), rf"(?U)(?<=[{cjk}]){SPACE}+(?=[{cjk}])", "")
+    text = F.regexp_replace(strip(value), rf"(?U)(?<=[{cjk}]){SPACE}+(?=[{cjk}])", "")
     return (
         F.when(entity_type.isin("PHONE", "BANK_CARD", "ID_CARD"), F.upper(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f\-‐-―().]", "")))
         .when(entity_type == "EMAIL", F.lower(text))

@@ -10,10 +10,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from .functions import checks, keyed, text
-from .functions.spans import apply_edits, occurrences
+from .functions.spans import apply_edits, edits_error
 from .operators import decide, detect, merge, requests, scopes, tokens
 from .plans.vocabulary import ACTIONS, DURATION_BUCKETS, IMAGE_CLASSES, POLICY, SEVERITY
 from .sources import binary
+from .tables import written
 
 KEY = b"\x02" * 32
 SEAL_KEY = b"\x01" * 32
@@ -187,8 +188,8 @@ _MERGED_SQL = f"""select * exclude (n), from (select *, row_number() over w as n
 
 
 def claims(spark, sf_dir) -> DataFrame:
-    scope = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_nationkey").cast("string").alias("scope_id"))
-    return items(spark, sf_dir, "claim").join(scope, "item_id")
+    table, key, expr = RECIPES["claim"]
+    return _table(spark, sf_dir, table).withColumn("k", F.col(key)).select(F.col("k").alias("item_id"), F.expr(expr).alias("text"), F.col("c_nationkey").cast("string").alias("scope_id"))
 
 
 def _claim_findings(df):
@@ -253,70 +254,68 @@ def policy_purpose_override(spark, sf_dir):
 _ALPHA = text.TOKEN_ALPHABET
 
 
-def _token_sql(number: str) -> str:
-    return "'[[PGW_V1_' || entity_type || '_' || " + " || ".join(f"substr('{_ALPHA}', cast(floor({number} / {32**i}) % 32 as int) + 1, 1)" for i in reversed(range(12))) + " || ']]'"
+def _token_sql(digest: str) -> str:
+    """The token that the first 60 bits of a keyed digest of the value's digest spell."""
+    number = f"('0x' || left({_hmac_sql(f"concat('token', chr(31), {digest})")}, 15))::bigint"
+    return "'[[PGW_V1_' || entity_type || '_' || " + " || ".join(f"substr('{_ALPHA}', ((({number}) >> {5 * i}) & 31)::int + 1, 1)" for i in reversed(range(12))) + " || ']]'"
 
 
 _CANON_SQL = "case when entity_type in ('PHONE', 'BANK_CARD', 'ID_CARD') then upper(regexp_replace(raw, '[\\s\\-().]', '', 'g')) else regexp_replace(raw, '\\s+', ' ', 'g') end"
 _SCOPED_SQL = f"select d.*, cast(c_nationkey as varchar) as scope_id, {_CANON_SQL} as canon from ({_DECIDED_SQL}) d join customer on c_custkey = item_id"
 _DIGEST_SQL = f"select *, {_hmac_sql(f'concat_ws(chr(31), {chr(39)}{TENANT}{chr(39)}, scope_id, entity_type, canon)')} as digest from ({_SCOPED_SQL})"
-_VAULT_SQL = f"select scope_id, entity_type, digest, original, {_token_sql('n')} as token from (select *, row_number() over (partition by scope_id order by entity_type, digest) as n from (select scope_id, entity_type, digest, min(raw) as original from ({_DIGEST_SQL}) where action = 'TOKENIZE' group by all))"
+_VAULT_SQL = f"select scope_id, entity_type, digest, original, {_token_sql('digest')} as token from (select scope_id, entity_type, digest, min(raw) as original from ({_DIGEST_SQL}) where action = 'TOKENIZE' group by all)"
 _EDITS_SQL = f"""select item_id, start, "end", case when action = 'TOKENIZE' then token else '[REDACTED]' end as repl from ({_DIGEST_SQL}) d left join ({_VAULT_SQL}) v using (scope_id, entity_type, digest) where action in ('TOKENIZE', 'REDACT')"""
 _SANITIZED_SQL = f"""select i.item_id, coalesce(head || substr(text, tail + 1), text) as sanitized_text from {items_sql("claim")} i left join (
     select item_id, string_agg(substr(text, prev + 1, start - prev) || repl, '' order by start) as head, max("end") as tail from (
       select e.*, text, coalesce(lag("end") over (partition by e.item_id order by start), 0) as prev from ({_EDITS_SQL}) e join {items_sql("claim")} t on e.item_id = t.item_id) group by item_id) x on i.item_id = x.item_id"""
 
 
-def _vault(spark, sf_dir, decided=None):
-    rows = claims(spark, sf_dir).select("item_id", "scope_id")
-    decided = decided_claims(spark, sf_dir) if decided is None else decided
-    return tokens.allocate(decided.filter("action = 'TOKENIZE'").join(rows, "item_id"), TENANT, KEY)
+def tokened(rows: DataFrame, findings) -> DataFrame:
+    """rows (item_id, scope_id, text) with f: merged findings with their decisions, digests and tokens. No shuffle."""
+    decided = decide.decided(merge.merged(findings), F.lit("general"))
+    return tokens.with_tokens(rows.withColumn("f", decided), "f", TENANT, KEY)
 
 
-def _sanitized(spark, sf_dir):
-    return tokens.sanitized(claims(spark, sf_dir), decided_claims(spark, sf_dir), _vault(spark, sf_dir), TENANT, KEY)
+def tokened_claims(spark, sf_dir) -> DataFrame:
+    return tokened(claims(spark, sf_dir), _claim_findings(None))
 
 
-_query("token_dedup", _VAULT_SQL)(lambda s, d: _vault(s, d).select("scope_id", "entity_type", "digest", "original", "token"))
-_query("canonical_hmac", f"select item_id, entity_type, digest from ({_DIGEST_SQL})")(
-    lambda s, d: decided_claims(s, d).join(claims(s, d).select("item_id", "scope_id"), "item_id").select("item_id", "entity_type", keyed.value_digest(F.lit(TENANT), F.col("scope_id"), F.col("entity_type"), text.canonical(F.col("raw"), F.col("entity_type")), KEY).alias("digest"))
-)
-_query("tokenize_placeholder", _SANITIZED_SQL)(lambda s, d: _sanitized(s, d).select("item_id", "sanitized_text"))
+_query("token_dedup", _VAULT_SQL)(lambda s, d: tokens.mappings(tokened_claims(s, d), "f").select("scope_id", "entity_type", "digest", "original", "token"))
+_query("canonical_hmac", f"select item_id, entity_type, digest from ({_DIGEST_SQL})")(lambda s, d: tokened_claims(s, d).select("item_id", F.explode("f").alias("f")).select("item_id", "f.entity_type", "f.digest"))
+_query("tokenize_placeholder", _SANITIZED_SQL)(lambda s, d: tokened_claims(s, d).select("item_id", tokens.sanitized(F.col("text"), F.col("f"))["text"].alias("sanitized_text")))
 
 
 @_query("restore_text", f"""select item_id as reply_id, not bool_or(action = 'REDACT') as same, count(*) filter (where action = 'TOKENIZE') as seen, count(*) filter (where action = 'TOKENIZE') as restored, 0::bigint as unknown
     from ({_DECIDED_SQL}) group by item_id""")
 def restore_text(spark, sf_dir):
     """same: restoring gives the text that was sanitized, but for redacted places (numbers of one value have one spelling here)."""
-    sent = _sanitized(spark, sf_dir)
-    out = tokens.restored(sent.select(F.col("item_id").alias("reply_id"), "scope_id", F.col("sanitized_text").alias("text"), F.col("text").alias("was")), _vault(spark, sf_dir))
+    rows = written(tokened_claims(spark, sf_dir), "tokened")  # read for the texts and for the vault
+    sent = rows.select(F.col("item_id").alias("reply_id"), "scope_id", F.col("text").alias("was"), tokens.sanitized(F.col("text"), F.col("f"))["text"].alias("text"))
+    out = tokens.restored(sent, tokens.mappings(rows, "f"))
     return out.select("reply_id", (F.col("restored_text") == F.col("was")).alias("same"), "seen", "restored", "unknown")
 
 
-@_query("vault_resolve_join", f"select scope_id, token, original, 1::bigint as live from ({_VAULT_SQL}) v where cast(scope_id as int) % 2 = 0")
-def vault_resolve_join(spark, sf_dir):
-    """Mappings of live scopes; a scope at or past its deadline resolves nothing."""
-    live = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("scope_id"), (F.col("n_nationkey") % 2 == 0).alias("active")).filter("active")
-    return _vault(spark, sf_dir).join(live, "scope_id").select("scope_id", "token", "original", F.lit(1).cast("long").alias("live"))
-
-
-@_query("vault_encrypt_roundtrip", f"select digest, original, length(original) + 28 as sealed_length, true as foreign_scope_fails from ({_VAULT_SQL}) where regexp_matches(original, '^[\\x00-\\x7f]*$')")
+@_query("vault_encrypt_roundtrip", f"select digest, original, octet_length(encode(original)) + 28 as sealed_length, true as foreign_scope_fails from ({_VAULT_SQL})")
 def vault_encrypt_roundtrip(spark, sf_dir):
-    rows = _vault(spark, sf_dir).filter(F.col("original").rlike(r"^[\x00-\x7f]*$"))
-    sealed = rows.withColumn("sealed", keyed.seal(F.col("original"), SEAL_KEY, F.lit(TENANT), F.col("scope_id"), F.col("entity_type"), F.col("digest"), F.col("token")))
-    opened = keyed.unseal(F.col("sealed"), SEAL_KEY, F.lit(TENANT), F.col("scope_id"), F.col("entity_type"), F.col("digest"), F.col("token"))
-    foreign = keyed.unseal(F.col("sealed"), SEAL_KEY, F.lit(TENANT), F.lit("other"), F.col("entity_type"), F.col("digest"), F.col("token"))
+    rows = tokens.mappings(tokened_claims(spark, sf_dir), "f")
+    bound = lambda scope: (F.lit(TENANT), scope, F.col("entity_type"), F.col("digest"), F.col("token"))
+    sealed = written(rows.withColumn("sealed", keyed.seal(F.col("original"), SEAL_KEY, *bound(F.col("scope_id")))), "sealed")  # a nonce is drawn once
+    opened, foreign = keyed.unseal(F.col("sealed"), SEAL_KEY, *bound(F.col("scope_id"))), keyed.unseal(F.col("sealed"), SEAL_KEY, *bound(F.lit("other")))
     return sealed.select("digest", opened.alias("original"), F.length("sealed").cast("long").alias("sealed_length"), foreign.isNull().alias("foreign_scope_fails"))
 
 
+def document_findings():
+    return detect.boosted(F.col("text"), detect.all_findings(F.col("text"), [_SHAPES["bank_card_luhn"], _SHAPES["email_address"]], []))
+
+
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with card numbers and addresses of mail: doubtful findings redacted, sure ones replaced by tokens of their source."""
-    rows = _docs(spark, sf_dir)
-    found = detect.boosted(F.col("text"), detect.all_findings(F.col("text"), [_SHAPES["bank_card_luhn"], _SHAPES["email_address"]], []))
-    decided = decide.decide(exploded(rows, merge.merged(found)), F.lit("general"))
-    vault = tokens.allocate(decided.filter("action = 'TOKENIZE'").join(rows.select("item_id", "scope_id"), "item_id"), TENANT, KEY)
-    out = tokens.sanitized(rows, decided, vault, TENANT, KEY)
-    return decide.item_decisions(out.select("item_id", "sanitized_text"), decided, F.lit(True)).withColumn("reason_codes", F.array_join("reason_codes", ","))
+    """Documents with card numbers and addresses of mail: doubtful findings redacted, sure ones replaced by tokens of their source.
+
+    One pass over the texts, without a shuffle."""
+    rows = tokened(_docs(spark, sf_dir), document_findings())
+    said = decide.effective(F.col("f"), F.lit(True))
+    out = tokens.sanitized(F.col("text"), F.col("f"))
+    return rows.select("item_id", out["text"].alias("sanitized_text"), said["action"].alias("effective_action"), F.array_join(said["reasons"], ",").alias("reason_codes"), F.size("f").cast("long").alias("n_findings"))
 
 
 _DOC_DECIDED_SQL = f"""select *, case when entity_type = 'BANK_CARD' and confidence < 0.6 then 'REDACT' else 'TOKENIZE' end as action, case when entity_type = 'BANK_CARD' and confidence < 0.6 then 'low_confidence' else 'entity_rule' end as reason
@@ -352,12 +351,6 @@ _query("canonicalize", f"select item_id, upper(regexp_replace(text, '[\\s\\-().]
     lambda s, d: (x := _table(s, d, "customer").selectExpr("c_custkey as item_id", "'138-' || cast(c_custkey as string) || ' (9)' as text")).select("item_id", text.canonical(x["text"], F.lit("PHONE")).alias("phone"), text.canonical(x["text"], F.lit("EMAIL")).alias("mail"), text.canonical(x["text"], F.lit("VEHICLE_PLATE")).alias("plate"))
 )
 
-# ---- model claims: verified spans ----------------------------------------------------------------------------------
-_query(
-    "model_verify_spans",
-    "select doc_id as item_id, start, start + 3 as \"end\" from (select doc_id, unnest(list_filter(range(0, length(text) - 2), lambda i: substr(text, i + 1, 3) = 'the')[1:20])::int as start from documents)",
-)(lambda s, d: _docs(s, d).select("item_id", F.explode(occurrences(F.col("text"), F.lit("the"))).alias("x")).select("item_id", "x.start", "x.end"))
-
 # ---- requests: manifests, payloads, replies, messages, references, uploads, guard ------------------------------------
 @_query("manifest_normalize", """with m as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as request_id, role, text, turn from conversations),
     i as (select request_id, role, 0 as position, 'a' as item_id, text, null as file_field from m
@@ -392,11 +385,6 @@ _query("coverage_anti_join", f"select doc_id from documents where doc_id not in
 _query("withheld_semi_join", f"select item_id from {items_sql('claim')} where item_id in (select item_id from ({_DECIDED_SQL}) where action in ('BLOCK', 'LOCAL_ONLY'))")(
     lambda s, d: items(s, d, "claim").select("item_id").join(decided_claims(s, d).filter(F.col("action").isin("BLOCK", "LOCAL_ONLY")), "item_id", "left_semi")
 )
-_query("fast_path_guard", "select doc_id, concat_ws(',', case when quality is null then 'missing_inspection' end, case when quality = 0 then 'incomplete_inspection' end, case when toxic = 1 then 'findings_present' end, case when lang = 'de' then 'purpose_not_allowed' end) as blockers from documents left join labels using (doc_id)")(
-    lambda s, d: _table(s, d, "documents").join(_table(s, d, "labels"), "doc_id", "left").select("doc_id", F.concat_ws(",", F.array_distinct(F.filter(F.array(F.when(F.col("quality").isNull(), "missing_inspection"), F.when(F.col("quality") == 0, "incomplete_inspection"), F.when(F.col("toxic") == 1, "findings_present"), F.when(F.col("lang") == "de", "purpose_not_allowed")), lambda x: x.isNotNull()))).alias("blockers"))
-)
-
-
 @_query("resolve_overlaps", """with recursive e as (select conv_id, turn, len, row_number() over (partition by conv_id order by turn % 3 desc, len % 60 desc, turn) as n, (turn * 40)::int as a, (turn * 40 + 20 + len % 60)::int as b from (select conv_id, turn, length(text) as len from conversations)),
     r(conv_id, n, kept) as (select conv_id, 0::bigint, []::struct(a int, b int)[] from e group by conv_id
       union all select e.conv_id, e.n, case when len(list_filter(kept, lambda k: k.a < e.b and e.a < k.b)) > 0 then kept else list_append(kept, {a: e.a, b: e.b}) end from r join e on e.conv_id = r.conv_id and e.n = r.n + 1)
@@ -408,28 +396,43 @@ def resolve_overlaps(spark, sf_dir):
     return rows.select("conv_id", F.array_join(kept, ",").alias("kept"))
 
 
-_query("redact_text", "select conv_id, turn, substr(text, 1, 3) || '[REDACTED]' || substr(text, 8, 3) || '[REDACTED]' || substr(text, 13) as text from conversations where length(text) >= 20")(
-    lambda s, d: _table(s, d, "conversations").filter(F.length("text") >= 20).select("conv_id", "turn", apply_edits(F.col("text"), F.array(F.struct(F.lit(3).alias("start"), F.lit(7).alias("end"), F.lit("[REDACTED]").alias("replacement")), F.struct(F.lit(10).alias("start"), F.lit(12).alias("end"), F.lit("[REDACTED]").alias("replacement")))).alias("text"))
+_query("redact_text", "select conv_id, turn, case when length(text) >= 12 then substr(text, 1, 3) || '[REDACTED]' || substr(text, 8, 3) || '[REDACTED]' || substr(text, 13) end as text from conversations")(
+    lambda s, d: _table(s, d, "conversations").withColumn("e", F.expr("array(named_struct('start', 3, 'end', 7, 'replacement', '[REDACTED]'), named_struct('start', 10, 'end', 12, 'replacement', '[REDACTED]'))"))
+    .select("conv_id", "turn", F.when(edits_error(F.col("text"), F.col("e")).isNull(), apply_edits(F.col("text"), F.col("e"))).alias("text"))
 )
 
 # ---- images, archives, bytes ---------------------------------------------------------------------------------------
 _query("image_class", "select event_id, case when event_id % 7 = 0 then 'UNKNOWN_IMAGE' when event_id % 5 = 0 or event_id % 3 = 1 then 'SENSITIVE_IMAGE' when event_id % 11 = 0 then 'UNKNOWN_IMAGE' when event_type = 'view' then 'ID_DOCUMENT_IMAGE' when length(trim(props)) >= 12 then 'SENSITIVE_IMAGE' else 'ORDINARY_IMAGE' end as image_class from events")(
     lambda s, d: _table(s, d, "events").select("event_id", decide.image_class(F.col("event_id") % 5 == 0, (F.col("event_id") % 3 == 1).cast("int"), F.col("event_id") % 7 != 0, F.col("event_id") % 11 != 0, F.when(F.col("event_type") == "view", "My PassPort").otherwise(F.col("props")), "passport|identity card").alias("image_class"))
 )
-_CLASSES_SQL = ", ".join(f"('{c}', '{POLICY['content_classes'][c]}')" for c in IMAGE_CLASSES)
-_query("content_class_actions", f"select c as image_class, action, count(*) as n from (select (['{(chr(39) + ', ' + chr(39)).join(IMAGE_CLASSES)}'])[event_id % 4 + 1] as c from events) join (values {_CLASSES_SQL}) p(name, action) on c = name group by all")(
-    lambda s, d: _table(s, d, "events").select(F.element_at(F.array(*(F.lit(c) for c in IMAGE_CLASSES)), (F.col("event_id") % 4 + 1).cast("int")).alias("image_class"))
-    .join(F.broadcast(s.createDataFrame(list(POLICY["content_classes"].items()), "image_class string, action string")), "image_class").groupBy("image_class", "action").agg(F.count("*").alias("n"))
-)
-_query("mime_sniff", "select doc_id, case when doc_id % 5 = 0 then 'image/png' when doc_id % 5 = 1 then 'application/octet-stream' else 'text/plain' end as mime from documents where text is not null and octet_length(encode(text)) <= 4096 and not regexp_matches(text, '[\\x00-\\x08\\x0e-\\x1f]')")(
-    lambda s, d: _table(s, d, "documents").filter((F.octet_length("text") <= 4096) & ~F.col("text").rlike(r"[\x00-\x08\x0e-\x1f]")).select("doc_id", binary.sniffed(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(binary.PNG), F.col("text").cast("binary"))).when(F.col("doc_id") % 5 == 1, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).otherwise(F.col("text").cast("binary"))).alias("mime"))
-    .filter("doc_id % 5 <> 1 or mime is not null")
+_HEX = "hex(encode(text))"
+_BAD_SQL = "regexp_matches(h, '^(..)*(0[0-8EF]|1[0-9A-F])') or regexp_matches(h, '^(..)*([CD].|E.|E.[89AB].|F.|F.[89AB].|F.[89AB].[89AB].)$')"
+_query("mime_sniff", f"""select doc_id, case when octet_length(encode(text)) = 0 and doc_id % 5 > 1 then null when doc_id % 5 = 0 then 'image/png' when {_BAD_SQL} then 'application/octet-stream' else 'text/plain' end as mime
+    from (select doc_id, text, ({_HEX} || case when doc_id % 5 = 1 then '00' else '' end)[1:8192] as h from documents where text is not null)""")(
+    lambda s, d: _table(s, d, "documents").filter("text is not null").select("doc_id", binary.sniffed(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(binary.PNG), F.col("text").cast("binary"))).when(F.col("doc_id") % 5 == 1, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).otherwise(F.col("text").cast("binary"))).alias("mime"))
 )
 
-_query("docx_parse", "select cast(doc_id as varchar) as item_id, sha256(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) as text_sha256, true as fully_inspected, null::varchar as error_code from documents")(
-    lambda s, d: binary.parsed(_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), binary.archived(F.col("text")).alias("data"))).select("item_id", F.sha2("text", 256).alias("text_sha256"), "fully_inspected", "error_code")
+_CLEAN_SQL = "regexp_replace(coalesce({}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+_LINES_SQL = "replace(replace(nfc_normalize({}), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_query("docx_parse", f"""select item_id, sha256('[DOCUMENT]' || chr(10) || '[PROPERTIES]' || chr(10) || 'creator: Ann' || chr(10) || '[/PROPERTIES]' || chr(10) || case when trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' then '' else '[BODY]' || chr(10) || {_LINES_SQL.format('t')} || chr(10) || '[/BODY]' || chr(10) end || '[/DOCUMENT]') as text_sha256,
+    not starts_with(t, 'Th') as fully_inspected, starts_with(t, 'Th')::int as media, null::varchar as error_code from (select cast(doc_id as varchar) as item_id, {_CLEAN_SQL.format('text')} as t from documents where text is not null)""")(
+    lambda s, d: binary.parsed(_table(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("item_id"), binary.archived(F.col("text")).alias("data"))).select("item_id", F.sha2("text", 256).alias("text_sha256"), "fully_inspected", "media", "error_code")
+)
+_query("xlsx_parse", f"""select conv_id::varchar as item_id, sha256('[DOCUMENT]' || chr(10) || case when min(role) = '' then '' else '[COMMENTS]' || chr(10) || min(role) || chr(10) || '[/COMMENTS]' || chr(10) end || '[DEFINED_NAMES]' || chr(10) || 'n: a!A1' || chr(10) || '[/DEFINED_NAMES]' || chr(10) || '[SHEET]' || chr(10)
+      || {_LINES_SQL.format("string_agg(case n % 3 when 2 then '7 [=' || t || ']' else t end || ' | ' || n, chr(10) order by n)")} || chr(10) || '[/SHEET]' || chr(10) || '[SHEET]' || chr(10) || '2' || chr(10) || '[/SHEET]' || chr(10) || '[/DOCUMENT]') as text_sha256, 1 as hidden, true as fully_inspected
+    from (select conv_id, role, {_CLEAN_SQL.format('text')} as t, row_number() over (partition by conv_id, part order by turn) - 1 as n, part from (select *, turn // 64 as part from conversations)) where part = 0 group by conv_id""")(
+    lambda s, d: xlsx_parse(s, d)
 )
 
+
+def xlsx_parse(spark, sf_dir):
+    """A workbook for each conversation: its first 64 turn numbers as rows, the least role as a comment."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    rows = _table(spark, sf_dir, "conversations").filter("turn div 64 = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", clean.alias("t")))).alias("m"), F.min("role").alias("role"))
+    data = rows.select(F.col("conv_id").cast("string").alias("item_id"), binary.archived_workbook(F.col("m.t"), F.col("role")).alias("data"))
+    return binary.parsed(data).select("item_id", F.sha2("text", 256).alias("text_sha256"), "hidden", "fully_inspected")
+
+
 # ---- scopes, reports -----------------------------------------------------------------------------------------------
 _SCOPE_LIMITS = {"turns": 50, "files": 20, "bytes": 3000, "pages": 200}
 _query("scope_admission", """with recursive t as (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, (event_type = 'purchase')::int as files, octet_length(encode(props)) as bytes, event_id % 3 as pages from events),

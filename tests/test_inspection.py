@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import io
 import random
+import re
 import struct
 import zipfile
 import zlib
@@ -12,6 +13,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from hushframe.functions import checks, keyed, text
+from hushframe.functions import spans as span_functions
 from hushframe.functions.spans import occurrences
 from hushframe.operators import decide, detect, merge, scopes, tokens
 from hushframe.plans.vocabulary import POLICY, checked_policy
@@ -98,22 +100,38 @@ def test_checks_digests_and_canonical_forms(spark):
 
 
 def test_tokens_round_trip(spark):
-    r = random.Random(9)
-    rows = [(i, f"s{i % 3}", f"Name: P{r.randrange(20)} | tel: 138{r.randrange(10**8):08d} | see [[PGW_V1_X_ABCDEFGHJKLM]]") for i in range(60)]
+    rows = [(1, "s", "Tel: 13812345678 and card 4539578763621486 [[PGW_V1_PERSON_ABCDEFGHJKLM]]"), (2, "s", "１３８１２３４５６７８, Tel: 138-1234-5678"), (3, "t", "Tel: 13812345678"), (4, "t", None)]
     items = spark.createDataFrame(rows, "item_id long, scope_id string, text string")
-    found = items.withColumn("f", F.explode(merge.merged(detect.boosted(F.col("text"), detect.all_findings(F.col("text")))))).select("item_id", "f.*")
-    decided = decide.decide(found, F.lit("general"))
-    vault = tokens.allocate(decided.filter("action = 'TOKENIZE'").join(items.select("item_id", "scope_id"), "item_id"), "t", b"k" * 32).cache()
-    sent = tokens.sanitized(items, decided, vault, "t", b"k" * 32)
-    out = tokens.restored(sent.select(F.col("item_id").alias("reply_id"), "scope_id", F.col("sanitized_text").alias("text")), vault).collect()
-    values = [x.original for x in vault.collect()]
-    was = {i: t.replace("[[PGW_V1_X_ABCDEFGHJKLM]]", "((PGW_V1_X_ABCDEFGHJKLM))") for i, _, t in rows}
-    for x in out:
-        assert x.restored_text == was[x.reply_id] and x.seen == x.restored == 2
-        assert not any(v in x.text for v in values if len(v) > 4)
-    other = tokens.restored(spark.createDataFrame([(1, "elsewhere", out[0].text)], "reply_id long, scope_id string, text string"), vault).first()
-    assert other.restored == 0 and other.unknown == 2 and other.restored_text == out[0].text
-    assert tokens.allocate(decided.filter("action = 'TOKENIZE'").join(items.select("item_id", "scope_id"), "item_id"), "t", b"k" * 32, vault).count() == 0
+    shapes = [r for r in detect.SHAPES if r.rule_id in ("cn_phone_mobile", "bank_card_luhn")]
+    found = merge.merged(detect.boosted(F.col("text"), detect.all_findings(F.col("text"), shapes, [])))
+    rows = tokens.with_tokens(items.withColumn("f", decide.decided(found, F.lit("general"))), "f", "t", b"k" * 32).cache()
+    vault = tokens.mappings(rows, "f").cache()
+    assert vault.count() == 3 and vault.select("token").distinct().count() == 3  # one spelling of a number is one value of a scope
+    assert all(re.fullmatch(text.TOKEN, r.token) for r in vault.collect())
+    sent = rows.select(F.col("item_id").alias("reply_id"), "scope_id", tokens.sanitized(F.col("text"), F.col("f"))["text"].alias("text"))
+    texts = {r.reply_id: r.text for r in sent.collect()}
+    assert "((PGW_V1_PERSON_ABCDEFGHJKLM))" in texts[1] and "138" not in texts[2] and texts[4] is None
+    back = {r.reply_id: r for r in tokens.restored(sent, vault).collect()}
+    assert back[1].restored_text == "Tel: 138-1234-5678 and card 4539578763621486 ((PGW_V1_PERSON_ABCDEFGHJKLM))" and back[1].seen == back[1].restored == 2
+    assert back[2].seen == 2 and len(set(re.findall(text.TOKEN, texts[2]))) == 1
+    other = tokens.restored(spark.createDataFrame([(1, "elsewhere", texts[1])], "reply_id long, scope_id string, text string"), vault).first()
+    assert other.restored == 0 and other.unknown == 2 and other.restored_text == texts[1]
+    pending = rows.select("scope_id", F.explode("f").alias("f")).select("scope_id", "f.entity_type", "f.raw")
+    assert tokens.allocate(pending, "t", b"k" * 32, vault).count() == 0
+    assert {r.token for r in tokens.allocate(pending, "t", b"k" * 32).collect()} == {r.token for r in vault.collect()}
+    long = spark.createDataFrame([(1, "s", "x" * 500_001), (2, "s", texts[3] * 5_001)], "reply_id long, scope_id string, text string")
+    limits = {r.reply_id: (r.error_code, r.restored_text) for r in tokens.restored(long, vault.withColumn("scope_id", F.lit("s"))).collect()}
+    assert limits == {1: ("reply_too_long", None), 2: ("too_many_substitutions", None)}
+
+
+def test_many_spans_and_edits(spark):
+    line = "😀 a1 " * 3000
+    df = spark.createDataFrame([(line,), ("none",), (None,)], "t string")
+    got = [r.s for r in df.select(span_functions.find_all(F.col("t"), "a1").alias("s")).collect()]
+    assert [(s.start, s.end) for s in got[0]] == [(i * 5 + 2, i * 5 + 4) for i in range(3000)] and got[1] == [] and got[2] is None
+    edit = "array_sort(transform(sequence(0, 2999), i -> named_struct('start', cast(i * 5 + 2 as int), 'end', cast(i * 5 + 4 as int), 'replacement', 'b')))"
+    out = df.limit(1).withColumn("e", F.expr(edit)).select(span_functions.apply_edits(F.col("t"), F.col("e")).alias("x"), span_functions.edits_error(F.col("t"), F.col("e")).alias("bad"), span_functions.edits_error(F.lit("short"), F.col("e")).alias("worse")).first()
+    assert out.x == "😀 b " * 3000 and out.bad is None and out.worse == "span_conflict"
 
 
 def test_policy_is_checked(spark):
@@ -156,13 +174,32 @@ def test_binary_items(spark):
         ("broken", b"\xff\xfe\x00"),
         ("none", None),
     ]
+    sheet = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book = {
+        "xl__workbook_xml": f"<workbook {sheet}><sheets><sheet name='a'/><sheet name='b' state='veryHidden'/></sheets><definedNames><definedName name='Ann'>a!A1</definedName></definedNames></workbook>",
+        "xl__sharedStrings_xml": f"<sst {sheet}><si><t>Wei</t></si><si><r><t>Zh</t></r><r><t>ang</t></r></si></sst>",
+        "xl__worksheets__sheet1_xml": f"<worksheet {sheet}><row><c t='s'><v>1</v></c><c><v>4539</v></c><c><v>5787</v></c><c t='s'><v>9</v></c></row><row><c><f>A1&amp;B1</f><v>x</v></c><c><f>A2</f></c></row><row><c/></row></worksheet>",
+        "xl__worksheets__sheet2_xml": f"<worksheet {sheet}><row><c><is><t>hid</t><t>den</t></is></c></row></worksheet>",
+        "xl__comments1_xml": f"<comments {sheet}><t> see Ann </t></comments>",
+        "docProps__core_xml": "<p xmlns:d='u'><d:creator>Ann</d:creator></p>",
+        "xl__externalLinks__e1_xml": "<a/>",
+    }
+    rows += [("book", _archive(**book)), ("macro", _archive(word__document_xml=word, word__vbaProject_bin="m")), ("named", _archive(word__document_xml=word, docProps__app_xml="<p xmlns:d='u'><d:Company> Acme </d:Company></p>", word__header1_xml=word)), ("zip", _archive(a_txt="x"))]
     df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "item_id string, data binary")
     got = {r.item_id: r for r in binary.parsed(df).collect()}
-    assert got["docx"].text == "Wei Zhang" and not got["docx"].fully_inspected and got["whole"].fully_inspected
-    assert got["doctype"].error_code == "xml_doctype" and got["bomb"].error_code == "archive_ratio" and got["cut"].error_code == "png_truncated"
-    assert got["png"].text == "3 x 2\nAuthor: Wei" and got["plain"].text == "tëxt" and got["broken"].error_code and got["broken"].text is None
+    body = "[DOCUMENT]\n[BODY]\nWei Zhang\n[/BODY]\n[/DOCUMENT]"
+    assert got["docx"].text == body and not got["docx"].fully_inspected and got["docx"].media == 1 and got["docx"].blocks_original
+    assert got["whole"].text == body and got["whole"].fully_inspected and got["whole"].mime == binary.DOCX
+    assert got["named"].text == "[DOCUMENT]\n[PROPERTIES]\nCompany: Acme\n[/PROPERTIES]\n[BODY]\nWei Zhang\n[/BODY]\n[HEADER]\nWei Zhang\n[/HEADER]\n[/DOCUMENT]"
+    assert got["doctype"].error_code == "xml_doctype" and got["bomb"].error_code == "archive_ratio" and got["cut"].error_code == "image_truncated"
+    assert got["png"].fields == ["png:Author"] and (got["png"].width, got["png"].height) == (3, 2) and got["plain"].text == "tëxt" and got["broken"].error_code == "unsupported_media_type" and got["broken"].text is None
+    assert got["none"].error_code == "empty" and got["macro"].error_code == "macros_not_accepted" and got["zip"].error_code == "unsupported_media_type"
+    assert got["book"].text == "[DOCUMENT]\n[PROPERTIES]\nAnn\n[/PROPERTIES]\n[COMMENTS]\nsee Ann\n[/COMMENTS]\n[DEFINED_NAMES]\nAnn: a!A1\n[/DEFINED_NAMES]\n[SHEET]\nZhang | 4539 | 5787 | \nx [=A1&B1] | [=A2]\n[/SHEET]\n[SHEET]\nhidden\n[/SHEET]\n[/DOCUMENT]"
+    assert (got["book"].hidden, got["book"].external, got["book"].fully_inspected, got["book"].blocks_original) == (1, 1, True, True)
     kinds = {r.item_id: r.m for r in df.select("item_id", binary.sniffed(F.col("data")).alias("m")).collect()}
-    assert kinds["docx"] == "application/zip" and kinds["png"] == "image/png" and kinds["plain"] == "text/plain" and kinds["broken"] == "application/octet-stream"
+    assert kinds["docx"] == "application/zip" and kinds["png"] == "image/png" and kinds["plain"] == "text/plain" and kinds["broken"] == "application/octet-stream" and kinds["none"] is None
+    errors = {r.m: r.e for r in spark.createDataFrame([(m,) for m in ("text/plain", "image/gif", binary.MACROS[2])], "m string").select("m", binary.mime_error(F.col("m")).alias("e")).collect()}
+    assert errors == {"text/plain": None, "image/gif": "unsupported_media_type", binary.MACROS[2]: "macros_not_accepted"}
 
 
 def test_stream_agrees_with_the_batch_fold(spark, tmp_path):

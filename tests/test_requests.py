@@ -1,5 +1,6 @@
 """Unit vectors of manifests, model payloads, provider replies and JPEG metadata."""
 
+import re
 import struct
 
 import pyspark.sql.functions as F
@@ -68,9 +69,11 @@ def test_jpeg_metadata_and_archives(spark):
     scan = b"\xff\xda\0\2\1\2\xff\xd9"
     rows = [("plain", b"\xff\xd8" + frame + scan), ("exif", b"\xff\xd8" + part(0xE1, b"Exif\0\0" + tiff) + frame + part(0xFE, b"note") + scan + b"\0"), ("cut", b"\xff\xd8" + frame + scan[:-1]), ("sizeless", b"\xff\xd8" + scan)]
     got = {r.item_id: r for r in binary.parsed(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "item_id string, data binary")).collect()}
-    assert got["plain"].text == "3 x 2" and got["plain"].fully_inspected
-    assert got["exif"].text == "3 x 2\nGPS\nArtist: Wei\nComment: note" and not got["exif"].fully_inspected
-    assert got["cut"].error_code == "jpeg_truncated" and got["sizeless"].error_code == "jpeg_size"
+    assert (got["plain"].width, got["plain"].height, got["plain"].fields, got["plain"].blocks_original) == (3, 2, [], False)
+    assert got["exif"].has_gps and got["exif"].fields == ["exif:Artist", "jpeg:comment"] and got["exif"].blocks_original
+    assert got["cut"].error_code == "image_truncated" and got["sizeless"].error_code == "image_size"
+    seen = binary.classified(binary.parsed(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "item_id string, data binary")), F.lit("a cat"), F.lit(True), "passport")
+    assert {r.item_id: (r.image_class, r.forwardable) for r in seen.collect()} == {"plain": ("ORDINARY_IMAGE", True), "exif": ("SENSITIVE_IMAGE", False), "cut": ("UNKNOWN_IMAGE", False), "sizeless": ("UNKNOWN_IMAGE", False)}
     texts = spark.createDataFrame([("a", "x <&> \r\n\ty\x00é"), ("b", None)], "item_id string, text string")
     back = {r.item_id: r.text for r in binary.parsed(texts.select("item_id", binary.archived(F.col("text")).alias("data"))).collect()}
-    assert back == {"a": "x <&> \r\n\tyé", "b": ""}
+    assert {k: re.search(r"\[BODY\]\n(.*)\n\[/BODY\]", v or "", re.DOTALL) for k, v in back.items()}["a"][1] == "x <&> \n\tyé" and back["b"] is None
