@@ -11,7 +11,10 @@ from .detect import FINDING
 
 def merged(findings: Column) -> Column:
     """Greedy in order of evidence. A finding that overlaps a kept one is absorbed by the first such: it adds to its trail, and
-    gives it type and greater confidence if it is more severe. The kept span stays. The result is in order of place."""
+    gives it type and greater confidence if it is more severe. The kept span stays. The result is in order of place; findings of the
+    whole item, without a span, take no part and follow as they came."""
+    whole = F.filter(findings, lambda f: f["start"].isNull() | f["end"].isNull())
+    findings = F.filter(findings, lambda f: f["start"].isNotNull() & f["end"].isNotNull())
     none = F.array().cast(f"array<{FINDING}>")
 
     def step(kept, c):
@@ -28,7 +31,7 @@ def merged(findings: Column) -> Column:
         return F.when(at == 0, F.concat(kept, F.array(c))).otherwise(F.transform(kept, absorb)).cast(f"array<{FINDING}>")
 
     kept = F.aggregate(F.array_sort(findings), none, step)
-    return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    return F.concat(F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)), whole)
 
 
 def disjoint_edits(edits: Column) -> Column:

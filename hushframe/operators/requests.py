@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..sources.binary import mime_error, sniffed
+
 #: The keys of a claimed entity, claims in a payload at most, characters of a reply at most.
 CLAIM_KEYS = ("confidence", "end", "start", "text", "type")
 MOST_CLAIMS, MOST_REPLY = 200, 500_000
@@ -60,3 +62,80 @@ def parsed_reply(body: Column) -> Column:
         .when(F.length(text) > MOST_REPLY, "reply_too_long")
     )
     return F.struct(text.alias("text"), n_calls.alias("n_tool_calls"), at("finish_reason", "string").alias("finish_reason"), error.alias("error_code"))
+
+
+#: Fixed values of manifests: keys, kinds of items, sizes, and error fields that are told at most.
+MANIFEST_KEYS = ("purpose", "model", "messages", "options", "client_conversation_id", "tools", "tool_choice")
+MESSAGE_KEYS, ITEM_KEYS = ("role", "content", "tool_call_id"), ("type", "item_id", "text", "file_field", "filename", "declared_mime")
+KINDS = ("text", "file", "image")
+MOST_MANIFEST, MOST_FIELDS, MOST_FILE, MOST_REQUEST = 256 << 10, 20, 20_971_520, 52_428_800
+
+
+def parsed_manifest(raw: Column) -> Column:
+    """struct<purpose, model, messages, fields, error_code> of a manifest's JSON. fields: where it breaks the model (unknown, missing
+    or ill-formed keys), by location only and at most MOST_FIELDS; then the rest is null. messages is what normalized() takes."""
+    top = F.from_json(raw, "map<string,string>")
+    messages = F.from_json(top["messages"], "array<map<string,string>>")
+    at = lambda *parts: F.concat_ws(".", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    unknown = lambda m, keys, *where: F.transform(F.filter(F.map_keys(m), lambda k: ~k.isin(*keys)), lambda k: at(*where, k))
+    bad = lambda value, pattern, *where: F.when(~F.coalesce(value.rlike(pattern), F.lit(False)), at(*where))
+    none = F.array().cast("array<string>")
+
+    def item_fields(c, i, j):
+        where = ("messages", i.cast("string"), "content", j.cast("string"))
+        return F.concat(unknown(c, ITEM_KEYS, *where), F.array(bad(c["type"], f"^({'|'.join(KINDS)})\\z", *where, "type"), bad(c["item_id"], r"^[A-Za-z0-9._:\-]{1,128}\z", *where, "item_id")))
+
+    def message_fields(m, i):
+        content = F.from_json(m["content"], "array<map<string,string>>")
+        where = ("messages", i.cast("string"))
+        short = F.when(F.coalesce(F.size(content), F.lit(0)) < 1, at(*where, "content"))
+        items = F.coalesce(F.flatten(F.transform(content, lambda c, j: item_fields(c, i, j))), none)
+        return F.concat(unknown(m, MESSAGE_KEYS, *where), F.array(bad(m["role"], r"^(system|user|assistant|tool)\z", *where, "role"), short), items)
+
+    own = F.array(bad(top["purpose"], r"^[a-z0-9_]{1,64}\z", "purpose"), bad(top["model"], r"^(?s).{1,128}\z", "model"), F.when(F.coalesce(F.size(messages), F.lit(0)) < 1, F.lit("messages")))
+    found = F.concat(unknown(top, MANIFEST_KEYS), own, F.coalesce(F.flatten(F.transform(messages, message_fields)), none))
+    fields = F.slice(F.filter(found, lambda x: x.isNotNull()), 1, MOST_FIELDS)
+    error = F.when(F.octet_length(raw) > MOST_MANIFEST, "manifest_too_large").when(top.isNull() | F.json_object_keys(raw).isNull(), "manifest_not_json").when(F.size(fields) > 0, "manifest_invalid")
+    good = error.isNull()
+    typed = F.from_json(top["messages"], "array<struct<role:string,content:array<struct<type:string,item_id:string,text:string,file_field:string>>>>")
+    return F.struct(
+        F.when(good, top["purpose"]).alias("purpose"), F.when(good, top["model"]).alias("model"), F.when(good, typed).alias("messages"), F.when(error == "manifest_invalid", fields).otherwise(none).alias("fields"), error.alias("error_code")
+    )
+
+
+def with_files(items: DataFrame, files: DataFrame) -> DataFrame:
+    """normalized items with detected_mime and byte_size of their files (request_id, file_field, data): missing, too large and
+    unsupported ones are errors, and so is what takes a request over its bytes, in the request's order."""
+    said = files.select("request_id", "file_field", F.octet_length("data").alias("_size"), sniffed(F.col("data")).alias("_mime"), F.lit(True).alias("_there"))
+    rows = items.join(said, ["request_id", "file_field"], "left")
+    file = F.col("type") != "text"
+    size = F.when(file, F.coalesce("_size", F.lit(0))).otherwise(F.coalesce("byte_size", F.lit(0)))
+    sofar = F.sum(size).over(Window.partitionBy("request_id").orderBy("message_index", "position").rowsBetween(Window.unboundedPreceding, 0))
+    mime = F.when(file, F.col("_mime")).otherwise(F.lit("text/plain"))
+    error = (
+        F.when(F.col("error_code").isNotNull(), F.col("error_code")).when(file & F.col("_there").isNull(), "file_missing").when(file & (F.col("_size") > MOST_FILE), "file_too_large")
+        .when(file & (mime != "application/zip"), mime_error(mime)).when(sofar > MOST_REQUEST, "request_too_large")
+    )
+    return rows.withColumns({"error_code": error, "detected_mime": mime, "byte_size": size}).drop("_size", "_mime", "_there")
+
+
+def unreferenced(files: DataFrame, items: DataFrame) -> DataFrame:
+    """Uploads (request_id, file_field) that no item points at: they would never be inspected."""
+    return files.select("request_id", "file_field").join(items.select("request_id", "file_field"), ["request_id", "file_field"], "left_anti")
+
+
+#: Bytes of a local model's answer at most.
+MOST_ANSWER = 256_000
+
+
+def parsed_answer(body: Column) -> Column:
+    """struct<claims, error_code> of a local model's whole answer: too long, cut off, without content or of another form is an error,
+    as a partial list would hide what was not listed."""
+    reply = F.try_parse_json(body)
+    at = lambda path, kind: F.try_variant_get(reply, f"$.choices[0].{path}", kind)
+    claims = parsed_claims(at("message.content", "string"))
+    error = (
+        F.when(F.octet_length(body) > MOST_ANSWER, "model_answer_too_long").when(at("message", "variant").isNull(), "model_bad_envelope").when(at("finish_reason", "string") == "length", "model_truncated")
+        .when(at("message.content", "string").isNull(), "model_no_payload").otherwise(claims["error_code"])
+    )
+    return F.struct(F.when(error.isNull(), claims["claims"]).alias("claims"), error.alias("error_code"))

@@ -2,34 +2,55 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..plans.vocabulary import LIMITS
 
 
+ADMITTED = "scope_id string, turn_count long, file_count long, cumulative_bytes long, cumulative_pages long, refused long, first_limit string"
+
+
 def admitted(turns: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """turns (scope_id, at, turn_id, files, bytes, pages) per scope: a refused turn adds nothing, so the fold depends on order.
 
-    (scope_id, turn_count, file_count, cumulative_bytes, cumulative_pages, refused, first_limit)."""
-    row = F.struct("at", "turn_id", F.col("files").cast("long").alias("files"), F.col("bytes").cast("long").alias("bytes"), F.col("pages").cast("long").alias("pages"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("turn_count"), zero.alias("file_count"), zero.alias("cumulative_bytes"), zero.alias("cumulative_pages"), zero.alias("refused"), F.lit(None).cast("string").alias("first_limit"))
-
-    def step(s, t):
-        limit = (
-            F.when(s["turn_count"] + 1 > limits["turns"], "turns")
-            .when(s["file_count"] + t["files"] > limits["files"], "files")
-            .when(s["cumulative_bytes"] + t["bytes"] > limits["bytes"], "bytes")
-            .when(s["cumulative_pages"] + t["pages"] > limits["pages"], "pages")
-        )
-        ok = limit.isNull().cast("long")
-        return F.struct(
-            (s["turn_count"] + ok).alias("turn_count"), (s["file_count"] + ok * t["files"]).alias("file_count"), (s["cumulative_bytes"] + ok * t["bytes"]).alias("cumulative_bytes"),
-            (s["cumulative_pages"] + ok * t["pages"]).alias("cumulative_pages"), (s["refused"] + 1 - ok).alias("refused"), F.coalesce(s["first_limit"], limit).alias("first_limit"),
-        )
-
-    return turns.groupBy("scope_id").agg(F.array_sort(F.collect_list(row)).alias("turns")).select("scope_id", F.aggregate("turns", start, step).alias("s")).select("scope_id", "s.*")
+    Turns pass by in order of their scope and time; a task keeps one scope's counters and never its turns. Nulls count as 0."""
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    rows = turns.select(F.col("scope_id").cast("string").alias("scope_id"), "at", "turn_id", number("files"), number("bytes"), number("pages"))
+    names = [x.split()[0] for x in ADMITTED.split(", ")]
+    most = [limits[k] for k in ("turns", "files", "bytes", "pages")]
+
+    def run(batches):
+        scope, had, refused, first = None, False, 0, None
+        sums = [0, 0, 0, 0]
+
+        def said():
+            return (scope, *sums, refused, first)
+
+        for batch in batches:
+            out = []
+            for own, files, size, pages in zip(*(batch.column(c).to_pylist() for c in ("scope_id", "files", "bytes", "pages")), strict=True):
+                if not had or own != scope:
+                    if had:
+                        out.append(said())
+                    scope, had, refused, first, sums = own, True, 0, None, [0, 0, 0, 0]
+                then = [sums[0] + 1, sums[1] + files, sums[2] + size, sums[3] + pages]
+                over = next((name for name, x, limit in zip(("turns", "files", "bytes", "pages"), then, most, strict=True) if x > limit), None)
+                if over:
+                    refused, first = refused + 1, first or over
+                else:
+                    sums = then
+            yield _batch(out, names)
+        if had:
+            yield _batch([said()], names)
+
+    return rows.repartition("scope_id").sortWithinPartitions("scope_id", "at", "turn_id").mapInArrow(run, ADMITTED)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.string(), *[pa.int64()] * 5, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def expires(last: Column, created: Column, idle_seconds: int, absolute_seconds: int) -> Column:

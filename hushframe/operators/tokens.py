@@ -55,7 +55,7 @@ def edits(findings: Column) -> Column:
     """Disjoint edits of TOKENIZE and REDACT findings: stricter, stronger, longer, earlier first."""
     rank = lambda f: F.array_position(F.array(*(F.lit(a) for a in ACTIONS)), f["action"]).cast("int") - 1
     made = F.transform(
-        F.filter(findings, lambda f: f["action"].isin("TOKENIZE", "REDACT")),
+        F.filter(findings, lambda f: f["action"].isin("TOKENIZE", "REDACT") & f["start"].isNotNull()),
         lambda f: F.struct(rank(f).alias("action_rank"), f["source_rank"].alias("source_rank"), f["start"].alias("start"), f["end"].alias("end"), F.when(f["action"] == "TOKENIZE", f["token"]).otherwise(REDACTED).alias("replacement")),
     )
     return disjoint_edits(made)

@@ -378,7 +378,6 @@ _query("material_refs", "select conv_id, turn, 'M' || row_number() over (partiti
 _query("message_assembly", "select conv_id, count(*) as messages, string_agg(role, ',' order by turn) as roles, sum(octet_length(encode(text)))::bigint as bytes from conversations group by conv_id")(
     lambda s, d: _table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.octet_length("text").alias("n")))).alias("m")).select("conv_id", F.size("m").cast("long").alias("messages"), F.array_join("m.role", ",").alias("roles"), F.expr("aggregate(m, 0L, (a, x) -> a + x.n)").alias("bytes"))
 )
-_query("unreferenced_uploads", "select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")(lambda s, d: _table(s, d, "documents").select("doc_id").join(_table(s, d, "labels"), "doc_id", "left_anti"))
 _query("coverage_anti_join", f"select doc_id from documents where doc_id not in (select item_id from ({shape_sql(_SHAPES['email_address'], _DOCS)}))")(
     lambda s, d: _table(s, d, "documents").select("doc_id").join(exploded(x := _docs(s, d), detect.shape_findings(x["text"], _SHAPES["email_address"])).select(F.col("item_id").alias("doc_id")), "doc_id", "left_anti")
 )

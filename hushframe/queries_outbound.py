@@ -5,9 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import claims, decide, detect, merge, outbound, tokens
-from .plans.vocabulary import ACTIONS, IMAGE_CLASSES, LIMITS, POLICY
-from .queries import _CLAIM_LABELS, _CLAIM_SHAPES, _DOC_DECIDED_SQL, _MERGED_SQL, _SHAPES, RECIPES, _query, _table, document_findings, exploded, items, items_sql, shape_sql, tokened
+from .operators import claims, decide, outbound, requests, tokens
+from .plans.vocabulary import ACTIONS, IMAGE_CLASSES, POLICY
+from .queries import _DOC_DECIDED_SQL, RECIPES, _query, _table, document_findings, exploded, items, items_sql, tokened
 from .sources import binary
 
 _RANKS = "list_position(['" + "', '".join(ACTIONS) + "'], action)"
@@ -174,3 +174,34 @@ _query("caller_allowed", "select c_custkey, case when c_mktsegment not in ('BUIL
 _query("log_allow_list", "select l_orderkey::varchar as request_id, l_quantity as duration_ms, l_linestatus as status from lineitem")(
     lambda s, d: outbound.log_lines(_table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("duration_ms"), F.col("l_returnflag").alias("raw_text")))
 )
+
+# ---- manifests and their files -------------------------------------------------------------------------------------
+#: A manifest for each turn; short texts give an unknown key, system turns another, long ones a bad id; some are cut off.
+_RAW = """'{"purpose": "p' || cast(conv_id as string) || '", "model": "m", "messages": [{"role": "' || role || '", "content": [{"type": "text", "item_id": "' || case when length(text) > 120 then 'a b' else 'a' end || '", "text": "x"'
+  || case when length(text) < 60 then ', "note": {"a": 1}' else '' end || '}]}]' || case when role = 'system' then ', "extra": [1]' else '' end || case when turn % 11 = 10 then '' else '}' end"""
+_query("manifest_parse", """select conv_id, turn, case when turn % 11 = 10 then 'manifest_not_json' when f <> '' then 'manifest_invalid' end as error_code, case when turn % 11 = 10 then '' else f end as fields from (select conv_id, turn,
+    concat_ws(',', case when role = 'system' then 'extra' end, case when role not in ('system', 'user', 'assistant', 'tool') then 'messages.0.role' end, case when length(text) < 60 then 'messages.0.content.0.note' end, case when length(text) > 120 then 'messages.0.content.0.item_id' end) as f
+    from conversations where text is not null and role is not null)""")(
+    lambda s, d: _table(s, d, "conversations").filter("text is not null and role is not null").withColumn("p", requests.parsed_manifest(F.expr(_RAW))).select("conv_id", "turn", "p.error_code", F.array_join("p.fields", ",").alias("fields"))
+)
+
+
+def uploads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(items, files): a request for each page with a text and a file; the file is its html, under another name where that is long."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("request_id"), "url", F.col("html").cast("binary").alias("data"))
+    content = F.expr("array(named_struct('type', 'text', 'item_id', 't', 'text', url, 'file_field', cast(null as string)), named_struct('type', 'image', 'item_id', 'i', 'text', cast(null as string), 'file_field', 'f'))")
+    rows = requests.normalized(pages.select("request_id", F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages")))
+    return rows, pages.select("request_id", F.when(F.length("data") > 1500, "g").otherwise("f").alias("file_field"), "data")
+
+
+_FILE_SQL = "(select page_id::varchar as request_id, url, html, octet_length(encode(html)) as n, hex(encode(html))[1:8192] as h from pages)"
+_query("manifest_files", f"""select request_id, 't' as item_id, 'text/plain' as detected_mime, coalesce(octet_length(encode(url)), 0)::int as byte_size, case when coalesce(url, '') = '' then 'text_required' end as error_code from {_FILE_SQL}
+    union all select request_id, 'i', m, case when n <= 1500 then n else 0 end, case when n is null or n > 1500 then 'file_missing' when m is null or m <> 'text/plain' then 'unsupported_media_type' end from (select *, case when n > 1500 or n = 0 or n is null then null when
+      regexp_matches(h, '^(..)*(0[0-8EF]|1[0-9A-F])') then 'application/octet-stream' else 'text/plain' end as m from {_FILE_SQL})""")(
+    lambda s, d: requests.with_files(*uploads(s, d)).select("request_id", "item_id", "detected_mime", F.col("byte_size").cast("int").alias("byte_size"), "error_code")
+)
+_query("unreferenced_uploads", f"select request_id, 'g' as file_field from {_FILE_SQL} where n > 1500")(lambda s, d: requests.unreferenced(*uploads(s, d)[::-1]))
+RECIPES["answer"] = ("customer", "c_custkey", """'{"choices": [{"finish_reason": "' || case when k % 4 = 1 then 'length' else 'stop' end || '", "message": {"content": ' || case when k % 4 = 2 then 'null' else '"{\\"entities\\": []}"' end || '}}' || case when k % 4 = 3 then '' else ']}' end""")
+_query("model_answer", f"select item_id, case item_id % 4 when 1 then 'model_truncated' when 2 then 'model_no_payload' when 3 then 'model_bad_envelope' end as error_code, case when item_id % 4 = 0 then 0 end as n from {items_sql('answer')}")(
+    lambda s, d: items(s, d, "answer").withColumn("p", requests.parsed_answer(F.col("text"))).select("item_id", "p.error_code", F.when(F.col("p.claims").isNotNull(), F.size("p.claims")).alias("n"))
+)

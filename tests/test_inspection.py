@@ -206,12 +206,12 @@ def test_stream_agrees_with_the_batch_fold(spark, tmp_path):
     from hushframe.streaming.scopes import scope_stream
 
     rows = [(f"s{i % 4}", 1_700_000_000 + i * 60, 100 + i) for i in range(40)]
-    df = spark.createDataFrame(rows, "scope_id string, sec long, bytes long").select("scope_id", F.timestamp_seconds("sec").alias("at"), "bytes")
+    df = spark.createDataFrame(rows, "scope_id string, sec long, bytes long").select("scope_id", F.timestamp_seconds("sec").alias("at"), (F.col("sec") % 2).alias("files"), "bytes", F.lit(1).cast("long").alias("pages"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     limits = {"turns": 7, "files": 9, "bytes": 900, "pages": 9}
     out = scope_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 10**9, 10**10, limits)
     q = out.writeStream.format("memory").queryName("scopes_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = {r.scope_id: (r.turn_count, r.cumulative_bytes, r.refused) for r in spark.table("scopes_out").filter("status = 'ACTIVE' and turn_count > 0").collect()}
-    batch = scopes.admitted(df.select("scope_id", "at", F.lit(0).alias("turn_id"), F.lit(0).alias("files"), "bytes", F.lit(0).alias("pages")), limits)
-    assert got == {r.scope_id: (r.turn_count, r.cumulative_bytes, r.refused) for r in batch.collect()}
+    got = {r.scope_id: (r.turn_count, r.file_count, r.cumulative_bytes, r.cumulative_pages, r.refused) for r in spark.table("scopes_out").filter("status = 'ACTIVE' and turn_count > 0").collect()}
+    batch = scopes.admitted(df.select("scope_id", "at", F.lit(0).alias("turn_id"), "files", "bytes", "pages"), limits)
+    assert got == {r.scope_id: (r.turn_count, r.file_count, r.cumulative_bytes, r.cumulative_pages, r.refused) for r in batch.collect()}
