@@ -3,10 +3,12 @@
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant, all others as named
 users, and a mask of the spans (code points) that the assistant says. A system turn is rendered as such for everyone and
 takes no part. Long conversations are rendered in parts of at most PART turns by their number, each with the place where
-it begins in the whole, so no conversation has to fit into one task.
+it begins in the whole. Texts are only ever grouped and joined by conversation and part; what is summed along a whole
+conversation are the lengths of its parts.
 
 Turns are ordered by number, then speaker, then text; rows that repeat are rendered once. Null text is empty; a null
-speaker is the participant 'unknown'; rows without a conversation or turn number are left out. Extra columns are ignored.
+speaker is the participant 'unknown', one with those named so; texts are taken as they are, also where they hold the marks
+of a turn; rows without a conversation or turn number are left out. Extra columns are ignored.
 An empty table gives an empty result.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 #: Turn numbers in a part.
 PART = 64
 SYSTEM = "system"
+_ROLE, _NAMED, _END = "<|im_start|>{}\n", "<|im_start|>user name=\n", "<|im_end|>\n"
 
 
 def rotate(conversations: DataFrame, speaker: str = "role", part: int = PART) -> DataFrame:
@@ -29,22 +32,27 @@ def rotate(conversations: DataFrame, speaker: str = "role", part: int = PART) ->
     people = turns.filter(F.col("who") != SYSTEM).select("conv_id", F.col("who").alias("speaker")).distinct()
     parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "who", "text"))).alias("turns"))
 
+    # where each part begins, from lengths alone: as if all were named users, less what the speaker's own turns save
+    named = F.when(F.col("who") == SYSTEM, len(_ROLE.format("system"))).otherwise(F.length("who") + len(_NAMED))
+    sizes = turns.groupBy("conv_id", "part", "who").agg(F.count("*").alias("n"), F.sum(F.length("text") + named + len(_END)).alias("size"))
+    whole = sizes.groupBy("conv_id", "part").agg(F.sum("size").alias("whole"))
+    own = sizes.filter(F.col("who") != SYSTEM).select("conv_id", "part", F.col("who").alias("speaker"), (F.col("n") * (F.length("who") + len(_NAMED) - len(_ROLE.format("assistant")))).alias("saved"))
+    w = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = whole.join(people, "conv_id").join(own, ["conv_id", "part", "speaker"], "left").withColumn("size", F.col("whole") - F.coalesce("saved", F.lit(0)))
+    placed = placed.select("conv_id", "part", "speaker", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("start"))
+
     def head(who):
-        named = F.concat(F.lit("<|im_start|>user name="), who, F.lit("\n"))
-        return F.when(who == F.col("speaker"), F.lit("<|im_start|>assistant\n")).when(who == SYSTEM, F.lit("<|im_start|>system\n")).otherwise(named)
+        return F.when(who == F.col("speaker"), F.lit(_ROLE.format("assistant"))).when(who == SYSTEM, F.lit(_ROLE.format("system"))).otherwise(F.concat(F.lit(_NAMED[:-1]), who, F.lit("\n")))
 
-    end = "<|im_end|>\n"
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("mask"))
+    begin = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("mask"))
 
     def add(acc, t):
-        begin = F.length(acc["text"]) + F.length(head(t["who"]))
-        span = F.concat_ws(":", begin.cast("string"), (begin + F.length(t["text"])).cast("string"))
+        at = F.length(acc["text"]) + F.length(head(t["who"]))
+        span = F.concat_ws(":", at.cast("string"), (at + F.length(t["text"])).cast("string"))
         return F.struct(
-            F.concat(acc["text"], head(t["who"]), t["text"], F.lit(end)).alias("text"),
+            F.concat(acc["text"], head(t["who"]), t["text"], F.lit(_END)).alias("text"),
             F.when(t["who"] == F.col("speaker"), F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"),
         )
 
-    rendered = parts.join(people, "conv_id").withColumn("r", F.aggregate("turns", start, add))
-    w = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("r.text")).over(w), F.lit(0))
-    return rendered.select("conv_id", "speaker", "part", before.alias("start"), F.col("r.text").alias("text"), F.array_join("r.mask", ",").alias("mask"))
+    rendered = parts.join(placed, ["conv_id", "part"]).withColumn("r", F.aggregate("turns", begin, add))
+    return rendered.select("conv_id", "speaker", "part", "start", F.col("r.text").alias("text"), F.array_join("r.mask", ",").alias("mask"))
