@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,16 +9,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where all run in one process."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+from ..tables import shared_dir
 
 
 #: Shuffle files of a finished execution go at once instead of when the driver happens to collect its garbage.
