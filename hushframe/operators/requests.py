@@ -105,7 +105,8 @@ def parsed_manifest(raw: Column) -> Column:
 
 def with_files(items: DataFrame, files: DataFrame) -> DataFrame:
     """normalized items with detected_mime and byte_size of their files (request_id, file_field, data): missing, too large and
-    unsupported ones are errors, and so is what takes a request over its bytes, in the request's order."""
+    unsupported ones are errors, and so is what takes a request over its bytes, in the request's order. Which office format an
+    archive is, its reader says."""
     said = files.select("request_id", "file_field", F.octet_length("data").alias("_size"), sniffed(F.col("data")).alias("_mime"), F.lit(True).alias("_there"))
     rows = items.join(said, ["request_id", "file_field"], "left")
     file = F.col("type") != "text"
@@ -114,7 +115,7 @@ def with_files(items: DataFrame, files: DataFrame) -> DataFrame:
     mime = F.when(file, F.col("_mime")).otherwise(F.lit("text/plain"))
     error = (
         F.when(F.col("error_code").isNotNull(), F.col("error_code")).when(file & F.col("_there").isNull(), "file_missing").when(file & (F.col("_size") > MOST_FILE), "file_too_large")
-        .when(file & (mime != "application/zip"), mime_error(mime)).when(sofar > MOST_REQUEST, "request_too_large")
+        .when(file & ~F.coalesce(mime == "application/zip", F.lit(False)), mime_error(mime)).when(sofar > MOST_REQUEST, "request_too_large")
     )
     return rows.withColumns({"error_code": error, "detected_mime": mime, "byte_size": size}).drop("_size", "_mime", "_there")
 

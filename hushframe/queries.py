@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from .functions import checks, keyed, text
 from .functions.spans import apply_edits, edits_error
-from .operators import decide, detect, merge, requests, scopes, tokens
+from .operators import decide, detect, merge, reports, requests, scopes, tokens
 from .plans.vocabulary import ACTIONS, DURATION_BUCKETS, IMAGE_CLASSES, POLICY, SEVERITY
 from .sources import binary
 from .tables import written
@@ -236,18 +236,27 @@ def _hmac_sql(message: str, key: bytes = KEY) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
 
 
-_query("audit_findings", f"""select item_id, rule_id, source, round(confidence, 3) as confidence, "end" - start as span_length, {_hmac_sql("raw")} as fingerprint from ({_MERGED_SQL})""")(
-    lambda s, d: merged_claims(s, d).select("item_id", "rule_id", "source", F.round("confidence", 3).alias("confidence"), (F.col("end") - F.col("start")).alias("span_length"), keyed.hmac_sha256(F.col("raw"), KEY).alias("fingerprint"))
+_query("audit_findings", f"""select item_id, rule_id, entity_type, source, round(confidence, 3) as confidence, "end" - start as span_length, {_hmac_sql("raw")} as fingerprint from ({_MERGED_SQL})""")(lambda s, d: reports.audit(merged_claims(s, d), KEY))
+_query("metrics_counters", f"select entity_type, source, action, reason_code, count(*) as n from ({_DECIDED_SQL}) group by grouping sets ((entity_type, source), (action, reason_code), (entity_type), ())")(lambda s, d: reports.counters(decided_claims(s, d)))
+_query("entity_counts", f"select item_id, count(*) as finding_count, (select string_agg(e || ':' || m, ',' order by e) from (select unnest(list_distinct(list(entity_type))) as e, 1 as m)) as types from ({_MERGED_SQL}) group by item_id")(
+    lambda s, d: reports.entity_counts(merged_claims(s, d), "item_id").select("item_id", "finding_count", F.array_join(F.transform(F.map_keys("entity_counts"), lambda k: F.concat(k, F.lit(":1"))), ",").alias("types"))
 )
 
 
-@_query(
-    "policy_purpose_override",
-    "select item_id, case when item_id % 2 = 0 then 'PASS' else 'BLOCK' end as action, case when item_id % 2 = 0 then 'purpose_overrides.medical_report_analysis.MEDICAL_DATA' else 'entities.MEDICAL_DATA' end as policy_rule_id from (select o_orderkey as item_id from orders)",
-)
+_PURPOSE_SQL = "case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'medical_report_analysis' else 'general' end"
+_ENTITY_OF_SQL = "case o_orderstatus when 'F' then 'MEDICAL_DATA' when 'O' then 'PERSON' else 'STARSIGN' end"
+
+
+@_query("policy_purpose_override", f"""select item_id, case when t = 'STARSIGN' then 'BLOCK' when t = 'MEDICAL_DATA' and p = 'general' then 'BLOCK' when t = 'MEDICAL_DATA' then 'PASS' when c < 0.75 then 'REDACT' else 'TOKENIZE' end as action,
+    case when t = 'STARSIGN' then 'defaults.unknown_entity' when t = 'MEDICAL_DATA' and p = 'general' then 'entities.MEDICAL_DATA' when t = 'MEDICAL_DATA' then 'purpose_overrides.medical_report_analysis.MEDICAL_DATA' when c < 0.75 then 'defaults.low_confidence' else 'entities.PERSON' end as policy_rule_id
+    from (select o_orderkey as item_id, {_PURPOSE_SQL} as p, {_ENTITY_OF_SQL} as t, (o_orderkey % 100) / 100.0::double as c from orders)""")
 def policy_purpose_override(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit("MEDICAL_DATA").alias("entity_type"), F.lit(0.5).alias("confidence"))
-    return decide.decide(rows, F.when(F.col("item_id") % 2 == 0, "medical_report_analysis").otherwise("general")).select("item_id", "action", "policy_rule_id")
+    """Override before entity rule before default, and a floor of confidence: both forms of the policy must say the same."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.expr(_ENTITY_OF_SQL).alias("entity_type"), ((F.col("o_orderkey") % 100) / 100.0).alias("confidence"), F.expr(_PURPOSE_SQL).alias("purpose"))
+    f = F.array(F.struct("entity_type", "confidence"))
+    row_wise = rows.withColumn("f", decide.decided(f, F.col("purpose"))[0]).select("item_id", "f.action", "f.policy_rule_id")
+    joined = decide.decide(rows, F.col("purpose")).select("item_id", F.col("action").alias("_action"))
+    return row_wise.join(joined, "item_id").filter("action = _action").select("item_id", "action", "policy_rule_id")
 
 
 # ---- sanitize, restore -------------------------------------------------------------------------------------------
@@ -449,9 +458,7 @@ _query("scope_expiry", "select user_id, least(max(ts) + interval 1 hour, min(ts)
     lambda s, d: _table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.min("ts").alias("first")).select("user_id", scopes.expires(F.col("last"), F.col("first"), 3600, 864000).alias("expires_at"))
 )
 _BUCKETS = ", ".join(f"({b}::double)" for b in DURATION_BUCKETS)
-_query("duration_histogram", f"select event_type, le, count(*) filter (where value <= le) as n from events, (values {_BUCKETS}) b(le) group by all")(
-    lambda s, d: _table(s, d, "events").groupBy("event_type").agg(*(F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(DURATION_BUCKETS))).select("event_type", F.explode(F.array(*(F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(DURATION_BUCKETS)))).alias("x")).select("event_type", "x.le", "x.n")
-)
+_query("duration_histogram", f"select event_type, le, count(*) filter (where value <= le) as n from events, (values {_BUCKETS}) b(le) group by all")(lambda s, d: reports.durations(_table(s, d, "events"), "value", "event_type"))
 _query("severity_counts", f"select entity_type, list_position(['{(chr(39) + ', ' + chr(39)).join(SEVERITY)}'], entity_type)::int - 1 as severity, count(*) as n, round(avg(confidence), 6) as mean_confidence from ({_MERGED_SQL}) group by all")(
     lambda s, d: merged_claims(s, d).groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).select("entity_type", (F.array_position(F.array(*(F.lit(x) for x in SEVERITY)), F.col("entity_type")).cast("int") - 1).alias("severity"), "n", "mean_confidence")
 )

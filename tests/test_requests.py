@@ -77,3 +77,41 @@ def test_jpeg_metadata_and_archives(spark):
     texts = spark.createDataFrame([("a", "x <&> \r\n\ty\x00é"), ("b", None)], "item_id string, text string")
     back = {r.item_id: r.text for r in binary.parsed(texts.select("item_id", binary.archived(F.col("text")).alias("data"))).collect()}
     assert {k: re.search(r"\[BODY\]\n(.*)\n\[/BODY\]", v or "", re.DOTALL) for k, v in back.items()}["a"][1] == "x <&> \n\tyé" and back["b"] is None
+
+
+def test_manifests_name_where_they_break(spark):
+    item = '{"type": "text", "item_id": "a", "text": "x"}'
+    good = f'{{"purpose": "p_1", "model": "m", "messages": [{{"role": "user", "content": [{item}]}}], "options": {{"temperature": 0.1}}}}'
+    cases = [
+        (good, None, []),
+        (good.replace('"p_1"', '"P 1"').replace('"m"', '""'), "manifest_invalid", ["purpose", "model"]),
+        (good.replace('"role": "user"', '"role": "boss", "extra": {"text": "secret"}'), "manifest_invalid", ["messages.0.extra", "messages.0.role"]),
+        (good.replace(item, f'{item}, {{"type": "film", "item_id": "b c", "why": 1}}'), "manifest_invalid", ["messages.0.content.1.why", "messages.0.content.1.type", "messages.0.content.1.item_id"]),
+        (good.replace(f"[{item}]", "[]"), "manifest_invalid", ["messages.0.content"]),
+        ('{"purpose": "p", "model": "m", "messages": []}', "manifest_invalid", ["messages"]),
+        ("[1]", "manifest_not_json", []),
+        (good[:-1], "manifest_not_json", []),
+        (None, "manifest_not_json", []),
+        (good.replace('"x"', '"' + "x" * 300_000 + '"'), "manifest_too_large", []),
+        ('{"messages": [], ' + ", ".join(f'"k{i:02}": 1' for i in range(40)) + "}", "manifest_invalid", [f"k{i:02}" for i in range(20)]),
+    ]
+    got = parsed(spark, requests.parsed_manifest, [c[0] for c in cases])
+    assert [(g.error_code, g.fields) for g in got] == [(c[1], c[2]) for c in cases]
+    assert got[0].messages[0].content[0].item_id == "a" and all((g.messages is None) == (g.error_code is not None) for g in got)
+
+
+def test_files_of_requests(spark):
+    rows = [("r", [("user", [("text", "a", "x" * 30, None), ("file", "b", None, "f1"), ("file", "c", None, "f2"), ("image", "d", None, "f3"), ("file", "e", None, "f4")])])]
+    items = requests.normalized(spark.createDataFrame(rows, "request_id string, messages array<struct<role:string,content:array<struct<type:string,item_id:string,text:string,file_field:string>>>>"))
+    files = spark.createDataFrame([("r", "f1", bytearray(b"plain")), ("r", "f2", bytearray(b"GIF89a...")), ("r", "f4", bytearray(b"")), ("r", "other", bytearray(b"x"))], "request_id string, file_field string, data binary")
+    got = {r.item_id: (r.error_code, r.detected_mime, r.byte_size) for r in requests.with_files(items, files).collect()}
+    assert got == {"a": (None, "text/plain", 30), "b": (None, "text/plain", 5), "c": ("unsupported_media_type", "image/gif", 9), "d": ("file_missing", None, 0), "e": ("unsupported_media_type", None, 0)}
+    assert [r.file_field for r in requests.unreferenced(files, items).collect()] == ["other"]
+
+
+def test_answers_that_hide_something_are_errors(spark):
+    body = lambda content, reason="stop": f'{{"choices": [{{"finish_reason": "{reason}", "message": {{"content": {content}}}}}]}}'
+    payload = '"{\\"entities\\": []}"'
+    cases = [(body(payload), None), (body(payload, "length"), "model_truncated"), (body("null"), "model_no_payload"), ('{"choices": []}', "model_bad_envelope"), ("x", "model_bad_envelope"), (None, "model_bad_envelope"), (body('"' + "x" * 256_001 + '"'), "model_answer_too_long"), (body('"[]"'), "model_bad_payload")]
+    got = parsed(spark, requests.parsed_answer, [c[0] for c in cases])
+    assert [g.error_code for g in got] == [c[1] for c in cases] and got[0].claims == []
