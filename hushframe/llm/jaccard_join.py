@@ -28,6 +28,8 @@ from .rolling import mix, shingle_sets
 TILE = 1024
 #: Shingles that a chunk of a component holds, about.
 CHUNK_SHINGLES = 1 << 19
+#: Least tokens of a node that its rows carry, so that a pair comes from one bucket: with more in common it may come again, never less.
+EARLIER = 512
 #: Shingles known to be frequent, at most. Only the order of prefixes depends on it, never the result.
 HOT_SHINGLES = 1 << 18
 
@@ -197,7 +199,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
 def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different roots within a bucket that sizes and bitmaps leave possible; a tile holds a bucket or two of its
     chunks. nearest: of each set's pairs with larger ones, only the one with the greatest bound. Otherwise a pair comes from one
-    bucket only: that of the least token that both share. tokens: the buckets that each node is in; rows carry those before their own."""
+    bucket only: that of the least token that both share. tokens: the first buckets that each node is in; rows carry those before their own."""
 
     def pairs(rows):
         rows.sort(key=lambda r: r[1])
@@ -420,7 +422,7 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
         pairs = _bounded(mixed.filter("m = 2 and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, similarity)
         many = mixed.filter("m > 2")
         # a node is in as many buckets as its prefix is long
-        tokens = F.array().cast("array<long>") if nearest else F.collect_set("token")
+        tokens = F.array().cast("array<long>") if nearest else F.slice(F.array_sort(F.collect_set("token")), 1, EARLIER)
         held = many.select("node").distinct().withColumn("tokens", tokens) if nearest else many.groupBy("node").agg(tokens.alias("tokens"))
         wide = many.join(held.join(nodes.select("node", "bitmap"), "node"), "node")
         rest = pairs.union(_tiles(wide, similarity, nearest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -56,6 +56,7 @@ def test_components_equal_brute_force(spark):
 
 def test_small_tiles_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(J, "TILE", 4)
+    monkeypatch.setattr(J, "EARLIER", 2)
     rows = corpus(7, 90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_texts(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), 4, 85)["documents"].collect()}
     assert got == brute(rows, 4, 85)
