@@ -14,7 +14,8 @@ gives an empty result; an empty list allows everything.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -63,11 +64,11 @@ def _level(keys: DataFrame, number: int) -> np.ndarray:
 def _in_level(places: Column, held) -> Column:
     """True where all of the key's bits are set; places: the hashes of a key for this level."""
 
-    @F.pandas_udf("boolean")
-    def hit(h: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def hit(rows: pa.Array) -> pa.Array:
         words = held.value
-        b = np.array(h.tolist(), np.int64).reshape(len(h), -1) % (len(words) * 64)
-        return pd.Series(((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1).all(axis=1))
+        b = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) % (len(words) * 64)
+        return pa.array(((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1).all(axis=1))
 
     return hit(places)
 
@@ -103,31 +104,30 @@ class Cascade:
         """Place (from 1) of the first listed key in an array of key hashes; null without one."""
         levels = self.levels
 
-        @F.pandas_udf("int")
-        def place(rows: pd.Series) -> pd.Series:
-            sizes = rows.map(len).to_numpy()
-            if not sizes.sum() or not levels:
-                return pd.Series([None] * len(rows), dtype="Int32")
-            # each key comes with its hashes for every level
-            flat = np.concatenate([np.concatenate([np.asarray(x, np.int64) for x in row]) if len(row) else np.zeros(0, np.int64) for row in rows])
-            flat = flat.reshape(-1, len(levels), HASHES)
-            member = np.zeros(len(flat), bool)
-            live = np.arange(len(flat))
-            for number, held in enumerate(levels):
-                words = held.value
-                b = flat[live, number] % (len(words) * 64)
-                hit = ((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1).all(axis=1)
-                # a key that a level doesn't hold belongs to the other side; one that all hold, to the last one's
-                member[live] = number % 2 == 0
-                member[live[~hit]] = number % 2 == 1
-                live = live[hit]
-            row = np.repeat(np.arange(len(rows)), sizes)
-            begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            found = np.flatnonzero(member)
+        @F.arrow_udf("int")
+        def place(rows: pa.Array) -> pa.Array:
+            sizes = pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)
             out = np.zeros(len(rows), np.int64)
-            which, first = np.unique(row[found], return_index=True)
-            out[which] = found[first] - begin[which] + 1
-            return pd.Series(out).astype("Int32").mask(pd.Series(out) == 0)
+            # each key comes with its hashes for every level
+            flat = rows.flatten().flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and levels:
+                flat = flat.reshape(-1, len(levels), HASHES)
+                member = np.zeros(len(flat), bool)
+                live = np.arange(len(flat))
+                for number, held in enumerate(levels):
+                    words = held.value
+                    b = flat[live, number] % (len(words) * 64)
+                    hit = ((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1).all(axis=1)
+                    # a key that a level doesn't hold belongs to the other side; one that all hold, to the last one's
+                    member[live] = number % 2 == 0
+                    member[live[~hit]] = number % 2 == 1
+                    live = live[hit]
+                row = np.repeat(np.arange(len(rows)), sizes)
+                begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+                found = np.flatnonzero(member)
+                which, first = np.unique(row[found], return_index=True)
+                out[which] = found[first] - begin[which] + 1
+            return pa.array(out, pa.int32(), mask=out == 0)
 
         numbers = range(len(levels))
         return place(F.transform(hashes, lambda h: F.array(*(F.xxhash64(h, F.lit(i), F.lit(n)) for n in numbers for i in range(HASHES)))))
