@@ -113,3 +113,27 @@ def test_vault_locks_once_and_refuses_whole_scopes(spark):
     assert vault.purged(new, at(1)).count() == 1 and vault.purged(new, at(2)).count() == 0
     ids = spark.range(3).select(vault.new_scope_id().alias("i")).collect()
     assert all(r.i.startswith("scp_") and len(r.i) == 36 for r in ids)
+
+
+def test_policy_files(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from hushframe.plans.vocabulary import POLICY
+    from hushframe.sources.policy import loaded
+
+    good = tmp_path / "policy.json"
+    good.write_text(json.dumps(POLICY))
+    assert loaded(spark, str(good)) == POLICY
+    for name, text, word in (("a", json.dumps({**POLICY, "extra": 1}), "key extra"), ("b", json.dumps({**POLICY, "entities": {"CAT": ["PASS", 0.5]}}), "entity CAT"), ("c", "{", "not JSON")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError, match=word):
+            loaded(spark, str(tmp_path / name))
+
+
+def test_leaks_and_uncovered_items(spark):
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "item_id string")
+    decisions = spark.createDataFrame([("a", "PASS"), ("b", "LOCAL_ONLY")], "item_id string, action string")
+    assert {r.item_id: r.error_code for r in decide.leaks(items, decisions).collect()} == {"b": "withheld_in_outbound", "c": "no_decision"}
+    assert [r.item_id for r in decide.uncovered(items, decisions).collect()] == ["c"]
