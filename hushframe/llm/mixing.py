@@ -40,7 +40,8 @@ LENGTHS, PLAIN_LENGTHS = (2.0, 1.0, 0.5, 0.25, 0.125), (64.0, 16.0, 4.0, 1.0)
 #: Letters of a word that count.
 STEM = 5
 _BINS, _FEATURES = 8, 8
-_BETWEEN = r"[\s.,!?;:|\"()\[\]{}#$%&*+=@^~`<>/\\]+"
+#: What stands between words.
+_SIGNS = r"\s.,!?;:|\"()\[\]{}#$%&*+=@^~`<>/\\"
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -50,13 +51,9 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
-
-
-def _stems(words: Column) -> Column:
-    """The first letters of each word, once each: inflected words count as one."""
-    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, STEM)))
+def _stems(text: Column) -> Column:
+    """The first letters of each word, so that inflected words count as one."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"([^{_SIGNS}]{{1,{STEM}}})[^{_SIGNS}]*"), 1)
 
 
 def _log_bin(share: Column) -> Column:
@@ -73,9 +70,8 @@ def features(docs: DataFrame, lexicon: dict[str, list[float]]) -> DataFrame:
     """(doc_id, uid, tokens, bins): the text's words, and its evidence as bins: shares, and what the lexicon says for each domain."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("uid"), text.alias("text"))
-    rows = rows.withColumn("words", _words(F.col("text"))).withColumn("n", F.greatest(F.length("text"), F.lit(1)))
+    rows = rows.withColumn("words", _stems(F.col("text"))).withColumn("n", F.greatest(F.length("text"), F.lit(1)))
     share = lambda signs: F.regexp_count("text", F.lit(signs)) / F.col("n")
-    known = _stems(F.col("words"))
     listed = F.array(*(F.lit(w) for w in lexicon)).cast("array<string>")
     weights = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in lexicon.values())).cast("array<array<double>>")
     held = F.transform(F.array_intersect("stems", listed), lambda w: F.element_at(weights, F.array_position(listed, w).cast("int")))
@@ -90,7 +86,7 @@ def features(docs: DataFrame, lexicon: dict[str, list[float]]) -> DataFrame:
         F.least(F.floor(F.log2(F.size("words") + 1) / 2), F.lit(_BINS - 1)).cast("int"),
         *(_log_odds_bin(F.element_at("said", d + 1) - F.element_at("said", 1)) for d in (1, 2)),
     )
-    return rows.withColumn("stems", known).withColumn("said", said).select("doc_id", "uid", F.size("words").cast("long").alias("tokens"), bins.alias("bins"))
+    return rows.withColumn("stems", F.array_distinct("words")).withColumn("said", said).select("doc_id", "uid", F.size("words").cast("long").alias("tokens"), bins.alias("bins"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[float]], DataFrame]:
@@ -99,7 +95,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[float]], D
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id")
     n = {r.domain: r["count"] for r in held.groupBy("domain").count().collect()}
-    words = held.select("domain", F.explode(_stems(_words(F.col("text")))).alias("word"))
+    words = held.select("domain", F.explode(F.array_distinct(_stems(F.col("text")))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{d}") for d in range(len(DOMAINS))))
     total = sum(n.values())
     pooled = F.log((F.col("all") + 0.5) / (total + 1.0))
