@@ -182,7 +182,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     wide = wide.filter((F.lit(similarity) * F.col("na") <= 100 * F.col("nb")) & (F.lit(similarity) * F.col("nb") <= 100 * F.col("na")))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             need = _overlap_needed(na, nb, similarity)
             keep = np.zeros(len(na), bool)
@@ -203,13 +203,12 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
 
     def pairs(rows):
         rows.sort(key=lambda r: r[1])
-        own_tokens: dict[int, frozenset] = {}
+        last: list = [None, frozenset()]  # the row that pairs are looked for just now, and its tokens
 
         def meets_here(i, j):
-            for x in (i, j):
-                if x not in own_tokens:
-                    own_tokens[x] = frozenset(rows[x][5])
-            return own_tokens[i].isdisjoint(own_tokens[j])
+            if last[0] != i:
+                last[:] = [i, frozenset(rows[i][5])]
+            return last[1].isdisjoint(rows[j][5])
 
         n = np.array([r[1] for r in rows])
         root = np.array([r[2] for r in rows])
@@ -246,7 +245,7 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
 
     def run(batches):
         key, rows = None, []
-        for batch in batches:
+        for batch in slices(batches, 512):  # lists of tokens become Python's a few rows at a time
             out = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk", "tokens")), strict=True):
                 if r[:3] != key:
