@@ -27,14 +27,16 @@ def rotate(conversations: DataFrame, speaker: str = "role", part: int = PART) ->
     """(conv_id, speaker, part, start, text, mask): mask is 'from:to' of the speaker's own words within the part, comma-joined."""
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("who"), F.coalesce("text", F.lit("")).alias("text")
-    ).filter("conv_id is not null and turn is not null").distinct()
+    ).filter("conv_id is not null and turn is not null")
     turns = turns.withColumn("part", F.floor(F.col("turn") / part))
-    people = turns.filter(F.col("who") != SYSTEM).select("conv_id", F.col("who").alias("speaker")).distinct()
-    parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "who", "text"))).alias("turns"))
+    # the only shuffle of texts; what follows from lengths reads it again
+    parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "who", "text"))).alias("turns"))
+    said = parts.select("conv_id", "part", F.explode(F.transform("turns", lambda t: F.struct(t["who"].alias("who"), F.length(t["text"]).alias("length")))).alias("t")).select("conv_id", "part", "t.who", "t.length")
+    people = said.filter(F.col("who") != SYSTEM).select("conv_id", F.col("who").alias("speaker")).distinct()
 
     # where each part begins, from lengths alone: as if all were named users, less what the speaker's own turns save
     named = F.when(F.col("who") == SYSTEM, len(_ROLE.format("system"))).otherwise(F.length("who") + len(_NAMED))
-    sizes = turns.groupBy("conv_id", "part", "who").agg(F.count("*").alias("n"), F.sum(F.length("text") + named + len(_END)).alias("size"))
+    sizes = said.groupBy("conv_id", "part", "who").agg(F.count("*").alias("n"), F.sum(F.col("length") + named + len(_END)).alias("size"))
     whole = sizes.groupBy("conv_id", "part").agg(F.sum("size").alias("whole"))
     own = sizes.filter(F.col("who") != SYSTEM).select("conv_id", "part", F.col("who").alias("speaker"), (F.col("n") * (F.length("who") + len(_NAMED) - len(_ROLE.format("assistant")))).alias("saved"))
     w = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
