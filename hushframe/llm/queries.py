@@ -6,7 +6,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bloom_cascade, exact_topk, jaccard_join, mixing, packing, perspectives, quality_knn, secret_ledger, suffix_dedup
+from . import alignment, ann_tree, bloom_cascade, exact_topk, jaccard_join, merkle, mixing, packing, perspectives, quality_knn, secret_ledger, suffix_dedup, token_counts
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -71,7 +71,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ann_tree, op3_perspectives, op4_quality_knn, op5_bloom_cascade, op6_mixing, op7_suffix_dedup, op8_secret_ledger, op9_packing, op10_jaccard_join)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    columns = {c: F.col(c) for c in merkle.COLUMNS}
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    manifest = merkle.build(docs, carry={"tampered": F.when(hit, merkle.leaf(columns | {"text": lower}))})
+    out = merkle.proofs(manifest).select(F.col("row.at").alias("doc_id"), F.col("row.node").alias("leaf"), "subroot", F.lit(manifest.root).alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("row.tampered", "row.node"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.over_limit(token_counts.counted(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ann_tree, op3_perspectives, op4_quality_knn, op5_bloom_cascade, op6_mixing, op7_suffix_dedup, op8_secret_ledger, op9_packing, op10_jaccard_join, op11_merkle_manifest, op12_alignment, op13_token_counts)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -111,6 +129,27 @@ def _urls_sql() -> str:
     select page_id, host, path, rule, coalesce(v, 'allow') as verdict from fit where n = 1"""
 
 
+def _merkle_sql() -> str:
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "list_reduce([xor(c, b)] || range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    crc = f"xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint), lambda c, b: {bits}), 4294967295)"
+    up = lambda t: f"select part, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' order by pos)) from {t} where n > 1 group by part, level, n, pos // 16"
+    beside = lambda t: f"""select part, level, pos, coalesce(string_agg(node, '') over (w rows between unbounded preceding and 1 preceding), '') as l,
+        coalesce(string_agg(node, '') over (w rows between 1 following and unbounded following), '') as r from {t} where n > 1 window w as (partition by part, level, pos // 16 order by pos)"""
+    fold = lambda f, b: f"select {f}.part, row, {f}.level + 1, {f}.pos // 16, sha256(l || acc || r), proof || l || r from {f} join {b} using (part, level, pos)"
+    last = "qualify row_number() over (partition by row order by level desc) = 1"
+    return f"""with recursive d as (select coalesce('+' || source, '') as part, doc_id, {leaf('text')} as leaf, {leaf(f"translate(text, {_AZ})")} as lower_leaf, coalesce({crc} % 5 = 0, false) as hit from documents),
+    e as (select *, row_number() over (partition by part order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by part) as n, row_number() over () as row from d),
+    t(part, level, pos, n, node) as (select part, 0, pos, n, leaf from e union all {up('t')}),
+    s as (select part as own, node as subroot, row_number() over (order by encode(part)) - 1 as pos, count(*) over () as n from t where n = 1),
+    u(part, level, pos, n, node) as (select '', 0, pos, n, subroot from s union all {up('u')}),
+    tb as ({beside('t')}), ub as ({beside('u')}),
+    f(part, row, level, pos, acc, proof) as (select part, row, 0, pos, case when hit then lower_leaf else leaf end, '' from e union all {fold('f', 'tb')}),
+    g(part, row, level, pos, acc, proof) as (select '', row, 0, s.pos, acc, proof from (select * from f {last}) f join s on f.part = s.own union all {fold('g', 'ub')})
+    select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, acc as folded_root, acc = node as verified
+    from e join (select * from g {last}) g using (row) join s on e.part = s.own cross join (select node from u where n = 1)"""
+
+
 ORACLES = {
     "op1_exact_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
         where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -136,6 +175,7 @@ ORACLES = {
     select doc_id, n_bytes, n_removed, n_spans, sha256(unhex(y)) as kept_sha256,
       decode(unhex(regexp_replace(y, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', '\\1', 'g'))) as text from o""",
     "op8_secret_ledger": _secrets_sql(),
+    "op11_merkle_manifest": _merkle_sql(),
     "op10_jaccard_join": f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
     l as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) as l from w),
     s as (select doc_id, unnest(l) as sh from l),
