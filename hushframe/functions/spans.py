@@ -14,10 +14,20 @@ def find_all(text: Column, pattern: str | Column, groups_before: int = 0) -> Col
 
     The pattern must not take U+0001 or U+0002; the former stands for the latter in the copy that is searched.
     """
+    return placed(marked_parts(text, pattern, groups_before))
+
+
+def marked_parts(text: Column, pattern: str | Column, groups_before: int = 0) -> Column:
+    """text split at the ends of matches: every second part is one."""
     before = "".join(f"${i + 1}" for i in range(groups_before))
     value = f"${groups_before + 1}" if groups_before else "$0"
-    marked = F.regexp_replace(F.translate(text, _MARK, "\x02"), pattern, f"{before}{_MARK}{value}{_MARK}")
-    sizes = F.transform(F.split(marked, _MARK), lambda p: F.length(p))
+    clean = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, "\x02")).otherwise(text)
+    return F.split(F.regexp_replace(clean, pattern, f"{before}{_MARK}{value}{_MARK}"), _MARK)
+
+
+def placed(parts: Column) -> Column:
+    """Spans of every second of the parts of a text."""
+    sizes = F.transform(parts, lambda p: F.length(p))
     return let(sizes, lambda n: F.when(F.size(n) <= BLOCK, _placed(n, F.lit(0))).otherwise(_placed_by_blocks(n)))
 
 

@@ -15,8 +15,8 @@ SPACE = r"[\s\x1c-\x1f]"
 
 
 def fold_fullwidth(text: Column) -> Column:
-    """Full-width digits and Latin letters as ASCII, one for one."""
-    return F.translate(text, _WIDE, _NARROW)
+    """Full-width digits and Latin letters as ASCII, one for one. Only texts that hold any are translated."""
+    return F.when(text.rlike("[０-９Ａ-Ｚａ-ｚ]"), F.translate(text, _WIDE, _NARROW)).otherwise(text)
 
 
 def _normal(form: str):
