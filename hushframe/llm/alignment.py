@@ -102,17 +102,22 @@ class Words:
             self.first[k] = np.concatenate((self.first[k], self.first[k][-1] + np.cumsum([len(x) for x in lists])))
             self.ids[k] = np.concatenate((self.ids[k], np.fromiter((i for x in lists for i in x), np.int32)))
 
+    def full(self) -> bool:
+        return len(self.known) > self.MOST
+
     def trim(self) -> None:
-        """Numbers given out so far are void if too many words are known."""
-        if len(self.known) > self.MOST:
+        """Forgets all words if they are too many; numbers given out so far are void then."""
+        if self.full():
             self._forget()
 
+    def learn(self, lists: list[list[str]]) -> None:
+        """Take in what isn't known of many texts' words at once: tokenizers and the tables' growth cost little for each then."""
+        missing = dict.fromkeys(w for words in lists for w in words if w not in self.known)
+        if missing:
+            self._learn(list(missing))
+
     def numbers(self, words: list[str]) -> np.ndarray:
-        got = list(map(self.known.get, words))
-        if None in got:
-            self._learn(list({w: None for w, n in zip(words, got, strict=True) if n is None}))
-            got = list(map(self.known.get, words))
-        return np.array(got, np.int64)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def tokens(self, number: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of vocabulary k for the numbered words, and where each word's begin."""
@@ -221,14 +226,19 @@ def _parts(words: Words, batches):
         return Aligned(words, number, np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int64))
 
     for batch in slices(batches):
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if held and words.full():
+            yield aligned(), parts, bare
+            held, parts, bare, size = [], [], [], 0
+        words.trim()  # no numbers of words are held then
+        lists = [words.split(t) if t else [] for t in batch.column("text").to_pylist()]
+        words.learn(lists)
+        for doc_id, listed in zip(batch.column("doc_id").to_pylist(), lists, strict=True):
             if size >= WORDS:
                 yield aligned(), parts, bare
                 held, parts, bare, size = [], [], [], 0
-                words.trim()  # no numbers of words are held now
             row += 1
-            number = words.numbers(words.split(text)) if text else np.zeros(0, np.int64)
-            if not text or words.bad[number].any():
+            number = words.numbers(listed)
+            if not listed or words.bad[number].any():
                 bare.append(doc_id)
                 continue
             for k in range(0, len(number), WORDS):
