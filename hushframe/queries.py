@@ -143,12 +143,17 @@ def shape_sql(rule: detect.Shape, source: str, adjacent: bool = False) -> str:
         case when {valid} then {detect.VALIDATED}::double else {rule.confidence}::double end as confidence, substr(text, start::int + 1, ("end" - start)::int) as raw from ({rows}) where {keep}"""
 
 
+#: White space for RE2, which knows ASCII's only, and as characters to trim.
+_SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE_SQL = " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def label_sql(rule: detect.Label, source: str) -> str:
     pattern = f"(?i)((?:{detect.label_words(rule)}){detect.LABEL_SEPARATOR})([^{detect.STOP}]{{1,64}}?)({detect.GAP}|[{detect.STOP}]|$)"
-    lead = "length(part) - length(ltrim(part))"
-    rows = _marked_sql(source, "text", pattern)
-    return f"""select item_id, (start + {lead})::int as start, (start + {lead} + length(trim(part)))::int as "end", '{rule.rule_id}' as rule_id, '{rule.entity_type}' as entity_type, 'keyword' as source,
-        {rule.confidence}::double as confidence, trim(part) as raw from ({rows}) where trim(part) <> ''"""
+    pattern = pattern.replace("\\s", _SPACES)
+    rows = f"select *, ltrim(part, {_SPACE_SQL}) as l, trim(part, {_SPACE_SQL}) as v from ({_marked_sql(source, 'text', pattern)})"
+    return f"""select item_id, (start + length(part) - length(l))::int as start, (start + length(part) - length(l) + length(v))::int as "end", '{rule.rule_id}' as rule_id, '{rule.entity_type}' as entity_type, 'keyword' as source,
+        {rule.confidence}::double as confidence, v as raw from ({rows}) where v <> ''"""
 
 
 _SHAPE_INPUT = {"cn_id_card_18": "id18", "cn_id_card_15": "id15", "cn_travel_document": "travel", "cn_uscc": "uscc", "cn_landline": "landline", "cn_detailed_address": "address", "cn_phone_mobile": "mobile", "e164_phone": "e164", "bank_card_luhn": "card", "email_address": "email", "cn_vehicle_plate": "plate"}
@@ -314,29 +319,96 @@ def vault_encrypt_roundtrip(spark, sf_dir):
 
 
 def document_findings():
-    return detect.boosted(F.col("text"), detect.all_findings(F.col("text"), [_SHAPES["bank_card_luhn"], _SHAPES["email_address"]], []))
-
-
-def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with card numbers and addresses of mail: doubtful findings redacted, sure ones replaced by tokens of their source.
+    """All rules."""
+    return detect.boosted(F.col("text"), detect.all_findings(F.col("text")))
+
+
+def merged_sql(source: str) -> str:
+    """Findings of all rules in (item_id, text), boosted and merged: the greedy fold as a recursion over an item's findings."""
+    found = " union all ".join([*(shape_sql(r, source, True) for r in detect.SHAPES), *(label_sql(r, source) for r in detect.LABELS)])
+    words: dict[str, list[str]] = {}
+    for r in detect.LABELS:
+        words.setdefault(r.entity_type, []).extend(r.labels)
+    listed = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
+    near = " ".join(f"when '{t}' then {listed(w)}" for t, w in words.items())
+    before = f'greatest(start - {detect.CONTEXT}, 0)'
+    return f"""select item_id, k.a as start, k.b as "end", k.r as rule_id, k.t as entity_type, k.src as source, k.c as confidence, k.raw as raw from (
+      with recursive f as ({found}),
+      b as (select f.* exclude (confidence), case when source <> 'keyword' and len(list_filter(case entity_type {near} else []::varchar[] end, lambda w: contains(lower(substr(text, {before} + 1, start - {before})), w))) > 0
+            then least(1.0::double, confidence + {detect.BONUS}::double) else confidence end as confidence from f join {source} x on f.item_id = x.item_id),
+      o as (select item_id, start as a, "end" as b, rule_id as r, entity_type as t, list_position({listed(SEVERITY)}, entity_type) as s, source as src, confidence as c, raw,
+            row_number() over (partition by item_id order by list_position(['checksum', 'regex', 'keyword'], source), list_position({listed(SEVERITY)}, entity_type), start - "end", -confidence, start, "end", rule_id) as n from b),
+      m(item_id, n, kept) as (select item_id, 0::bigint, []::struct(a int, b int, r varchar, t varchar, s int, src varchar, c double, raw varchar)[] from o group by item_id
+        union all select item_id, n, case when hit is null then list_append(kept, {{a: a, b: b, r: r, t: t, s: s, src: src, c: c, raw: raw}}) else
+            list_transform(kept, lambda k, i: case when i = hit and s < k.s then {{a: k.a, b: k.b, r: k.r, t: t, s: s, src: k.src, c: greatest(k.c, c), raw: k.raw}} else k end) end
+          from (select o.*, kept, list_position(list_transform(kept, lambda k: k.a < o.b and o.a < k.b), true) as hit from m join o on o.item_id = m.item_id and o.n = m.n + 1))
+      select item_id, unnest(arg_max(kept, n)) as k from m group by item_id)"""
+
+
+def decided_sql(source: str) -> str:
+    return f"""select f.*, case when confidence < least_c then 'REDACT' else p.action end as action, case when confidence < least_c then 'low_confidence' else 'entity_rule' end as reason
+      from ({merged_sql(source)}) f join (values {_ENTITY_SQL}) p(entity_type, action, least_c) on f.entity_type = p.entity_type"""
+
+
+_CJK_SPACE = "([㐀-鿿豈-﫿])[" + _SPACES + "]+([㐀-鿿豈-﫿])"
+_VALUE_SQL = f"trim(nfc_normalize(raw), {_SPACE_SQL})"
+_VALUE_SQL = f"regexp_replace(regexp_replace({_VALUE_SQL}, '{_CJK_SPACE}', '\\1\\2', 'g'), '{_CJK_SPACE}', '\\1\\2', 'g')"
+_CANON_ALL_SQL = f"""case when entity_type in ('PHONE', 'BANK_CARD', 'ID_CARD') then upper(regexp_replace({_VALUE_SQL}, '[{_SPACES}\\x1c-\\x1f\\-‐-―().]', '', 'g')) when entity_type = 'EMAIL' then lower({_VALUE_SQL})
+  when entity_type = 'VEHICLE_PLATE' then upper(regexp_replace({_VALUE_SQL}, '[{_SPACES}\\x1c-\\x1f·\\-]', '', 'g')) else regexp_replace({_VALUE_SQL}, '[{_SPACES}\\x1c-\\x1f]+', ' ', 'g') end"""
+
+
+def sanitized_sql(source: str) -> str:
+    """(item_id, effective_action, reason_codes, n_findings, text_sha256) of (item_id, scope_id, text): the digest is of the whole sanitized text."""
+    digest = _hmac_sql(f"concat_ws(chr(31), '{TENANT}', scope_id, entity_type, {_CANON_ALL_SQL})")
+    like = text.TOKEN_LIKE.replace("'", "''")
+    return f"""with x as materialized (select *, regexp_replace(text, '{like}', '((\1))', 'g') as escaped from {source}),
+      d as (select d.*, scope_id, escaped from ({decided_sql(source)}) d join x on d.item_id = x.item_id), t as (select *, {digest} as digest from d),
+      e as (select item_id, start, "end", escaped, case when action = 'TOKENIZE' then {_token_sql('digest')} else '[REDACTED]' end as repl, coalesce(lag("end") over (partition by item_id order by start), 0) as prev from t where action in ('TOKENIZE', 'REDACT')),
+      h as (select item_id, string_agg(substr(escaped, prev + 1, start - prev) || repl, '' order by start) as head, max("end") as tail from e group by item_id),
+      g as (select item_id, arg_max(action, {_RANK_SQL}) as action, string_agg(distinct reason, ',' order by reason) as reasons, count(*) as n from d group by item_id)
+      select x.item_id, coalesce(g.action, 'PASS') as effective_action, coalesce(reasons, 'no_findings') as reason_codes, coalesce(n, 0) as n_findings, sha256(coalesce(head || substr(escaped, tail + 1), escaped)) as text_sha256
+      from x left join h on x.item_id = h.item_id left join g on x.item_id = g.item_id"""
+
+
+def sanitized_rows(rows: DataFrame) -> DataFrame:
+    """rows (item_id, scope_id, text) through all rules: doubtful findings redacted, sure ones replaced by tokens of their scope.
 
     One pass over the texts, without a shuffle."""
-    rows = tokened(_docs(spark, sf_dir), document_findings())
+    rows = tokened(rows, document_findings())
     said = decide.effective(F.col("f"), F.lit(True))
     out = tokens.sanitized(F.col("text"), F.col("f"))
     return rows.select("item_id", out["text"].alias("sanitized_text"), said["action"].alias("effective_action"), F.array_join(said["reasons"], ",").alias("reason_codes"), F.size("f").cast("long").alias("n_findings"))
 
 
-_DOC_DECIDED_SQL = f"""select *, case when entity_type = 'BANK_CARD' and confidence < 0.6 then 'REDACT' else 'TOKENIZE' end as action, case when entity_type = 'BANK_CARD' and confidence < 0.6 then 'low_confidence' else 'entity_rule' end as reason
-    from ({shape_sql(_SHAPES["bank_card_luhn"], _DOCS, True)} union all {shape_sql(_SHAPES["email_address"], _DOCS)})"""
+def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, by all rules, with tokens of their source."""
+    return sanitized_rows(_docs(spark, sf_dir))
+
+
+def _digested(df: DataFrame) -> DataFrame:
+    return df.select("item_id", "effective_action", "reason_codes", "n_findings", F.sha2("sanitized_text", 256).alias("text_sha256"))
+
+
+_SCOPED_DOCS = "(select doc_id as item_id, source as scope_id, text from documents)"
+_query("sanitize_documents", sanitized_sql(_SCOPED_DOCS))(lambda s, d: _digested(sanitize_documents(s, d)))
+_query("sanitize_pages", sanitized_sql("(select page_id as item_id, 'web' as scope_id, html as text from pages)"))(
+    lambda s, d: _digested(sanitized_rows(_table(s, d, "pages").select(F.col("page_id").alias("item_id"), F.lit("web").alias("scope_id"), F.col("html").alias("text"))))
+)
+
+# a form in front of each whole document: labels with values, some spaced oddly, values that overlap a shape's in part, and near misses
+_FORM = """case k % 4 when 0 then '' else '姓名: 王' || cast(k as string) || ' 小明，年龄: 40' || chr(10) end || '联系电话:  138' || lpad(cast(k as string), 8, '0') || '（办）' || chr(10) || 'id number: 110101' || cast(1950 + k % 70 as string) || lpad(cast(k % 14 as string), 2, '0') || '15' || lpad(cast(k % 1000 as string), 3, '0') || cast(k % 10 as string) || chr(10)
+ || '账号 4539 5787-' || lpad(cast(k * 7919 % 100000000 as string), 8, '0') || chr(10) || case k % 3 when 0 then '病历号: MR' || cast(k as string) || chr(10) when 1 then '车牌: 京A·' || lpad(cast(k as string), 5, '0') || '，' else 'Email: U' || cast(k as string) || '@Example.org' || chr(10) end || '单位: 朝阳医院 地址：北京市朝阳区建国路' || cast(k % 90 as string) || '号楼' || chr(10)"""
+_RECORDS = f"(select k as item_id, source as scope_id, {_FORM} || coalesce(text, '') as text from (select *, doc_id as k from documents))"
+
+
+def record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id"))
+    return docs.select(F.col("k").alias("item_id"), F.col("source").alias("scope_id"), F.concat(F.expr(_FORM), F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@_query("sanitize_documents", f"""select doc_id as item_id, case when bool_or(action = 'REDACT') then 'REDACT' when bool_or(action = 'TOKENIZE') then 'TOKENIZE' else 'PASS' end as effective_action,
-    coalesce(string_agg(distinct reason, ',' order by reason), 'no_findings') as reason_codes, count(action) as n_findings, any_value(length(text)) - coalesce(sum("end" - start), 0) + coalesce(sum(case when action = 'REDACT' then 10 else 24 + length(entity_type) end), 0) as length_after
-    from documents left join ({_DOC_DECIDED_SQL}) on doc_id = item_id group by doc_id""")
-def sanitize_documents_summary(spark, sf_dir):
-    out = sanitize_documents(spark, sf_dir)
-    return out.select("item_id", "effective_action", "reason_codes", "n_findings", F.length("sanitized_text").cast("long").alias("length_after"))
+_query("sanitize_records", sanitized_sql(_RECORDS))(lambda s, d: _digested(sanitized_rows(record_rows(s, d))))
+_query("merge_records", merged_sql(_RECORDS))(lambda s, d: exploded(record_rows(s, d), merge.merged(document_findings())))
+_DOC_DECIDED_SQL = decided_sql(_DOCS)
 
 
 # ---- scalar functions --------------------------------------------------------------------------------------------
