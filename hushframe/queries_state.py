@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from .functions import keyed
 from .functions.spans import span_error
 from .operators import tokens, vault
 from .queries import _DECIDED_SQL, _VAULT_SQL, SEAL_KEY, TENANT, _query, _table, tokened_claims
-from .tables import written
+from .streaming.vault import vault_stream as stream_vault
+from .tables import ran, shared_dir, written
 
 # ---- scopes from events: a user's scope is made at the first event and used at each --------------------------------
 _IDLE, _WHOLE = 6 * 3600, 20 * 86400
@@ -106,6 +110,37 @@ def vault_close_and_purge(spark, sf_dir):
     return vault.purged(left, at("00:00")).select("scope_id", "digest").unionByName(vault.purged(left, at("01:00")).select("scope_id", "digest"))
 
 
+# ---- the same vault as a stream -------------------------------------------------------------------------------------
+def _events(rows: DataFrame, at: str, seq: int, kind: str, **columns) -> DataFrame:
+    """Events of one kind at one time of the day; what isn't given is null."""
+    types = {"request_id": "string", "entity_type": "string", "digest": "string", "token": "string", "sealed": "binary", "policy_version": "string"}
+    more = [columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    return rows.select(F.lit(TENANT).alias("tenant_id"), "scope_id", F.lit(f"2026-01-01 {at}").cast("timestamp").alias("at"), F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), *more)
+
+
+@_query("vault_stream", f"""select hour, scope_id, token, case when hour = 10 and m <= {_MOST} and scope_id::int % 2 = 0 then original end as original,
+    case when scope_id = '3' then 'CLOSED' when scope_id <> '7' then case when hour = 10 and scope_id::int % 2 = 0 then 'ACTIVE' else 'EXPIRED' end end as status, case when scope_id <> '7' then case when m <= {_MOST} then 'SANITIZED_LOCKED' else 'CLEAN' end end as privacy_mode
+    from {_PUT_SQL}, (values (10), (12)) h(hour)""")
+def vault_stream(spark, sf_dir):
+    """The claims' values put into nations' scopes and asked for by a stream that is stopped and started in between: idle after six
+    hours, some touched at five, one closed, one never opened."""
+    pending = written(tokens.mappings(tokened_claims(spark, sf_dir), "f"), "pending")
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("scope_id"))
+    version = F.lit("v1")
+    bound = (F.lit(TENANT), F.col("scope_id"), F.col("token"), F.col("entity_type"), version)
+    put_events = _events(pending, "01:00:00", 1, "put", request_id=F.lit("r"), entity_type=F.col("entity_type"), digest=F.col("digest"), token=F.col("token"), sealed=keyed.seal(F.col("original"), SEAL_KEY, *bound), policy_version=version)
+    first = _events(nations.filter("scope_id <> '7'"), "00:00:00", 0, "open").unionByName(put_events)
+    asked = [_events(pending, f"{hour}:00:00", seq, "resolve", token=F.col("token")) for hour, seq in ((10, 4), (12, 5))]
+    then = _events(nations.filter("scope_id % 2 = 0"), "05:00:00", 2, "touch").unionByName(_events(nations.filter("scope_id = '3'"), "05:30:00", 3, "close")).unionByName(asked[0]).unionByName(asked[1])
+    folder = f"{shared_dir(spark)}/hushframe/{uuid.uuid4().hex}-vault-stream"
+    for rows in (first, then):
+        rows.write.mode("append").parquet(f"{folder}/events")
+        events = spark.readStream.schema(first.schema).parquet(f"{folder}/events")
+        out = ran(stream_vault(events, 6 * 3600, 86400, 86400, {"mappings": _MOST}), f"{folder}/vault")
+    said = (F.lit(TENANT), F.col("scope_id"), F.col("token"), F.col("entity_type"), F.col("policy_version"))
+    return out.filter("kind = 'resolve'").select(F.hour("at").alias("hour"), "scope_id", "token", keyed.unseal(F.col("sealed"), SEAL_KEY, *said).alias("original"), "status", "privacy_mode")
+
+
 # ---- restoration of calls and of replies that name nobody -----------------------------------------------------------
 @_query("restore_calls", f"""select item_id as reply_id, count(*) filter (where action = 'TOKENIZE') as restored, not bool_or(action = 'REDACT') as same from ({_DECIDED_SQL}) group by item_id""")
 def restore_calls(spark, sf_dir):

@@ -25,3 +25,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/hushframe/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ran(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives for all that its source holds now, as a table: folder/rows, with its state and progress in
+    folder/checkpoint. Run again, it goes on where it stopped. For a table, run it with a folder under shared_dir."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
