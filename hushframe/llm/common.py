@@ -16,19 +16,27 @@ from ..tables import shared_dir
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows sent to Python at once.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor never costs more than one step.
 
     The step's shuffle files are dropped after it, as nothing reads them again; while it runs they are kept for retries.
+    batch_rows: how many rows the step sends to Python at once, where they are wide.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hushframe/{uuid.uuid4().hex}-{name}"
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")
+    wanted = {DROP_SHUFFLES: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.hushframe_path = path
     return out

@@ -26,6 +26,10 @@ from .rolling import mix, shingle_sets
 
 #: Rows that a tile holds at most; larger buckets are dealt out over pairs of chunks.
 TILE = 1024
+#: Pairs that a task holds before it gives them out.
+PAIRS = 1 << 15
+#: Rows with bitmaps and tokens that are sent to Python at once: they may take 12 kB each.
+WIDE_ROWS = 1000
 #: Shingles that a chunk of a component holds, about.
 CHUNK_SHINGLES = 1 << 19
 #: Least tokens of a node that its rows carry, so that a pair comes from one bucket: with more in common it may come again, never less.
@@ -244,17 +248,27 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
                 yield rows[i][0], rows[partner][0]
 
     def run(batches):
-        key, rows = None, []
-        for batch in slices(batches, 512):  # lists of tokens become Python's a few rows at a time
-            out = []
-            for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk", "tokens")), strict=True):
-                if r[:3] != key:
-                    out += pairs(rows) if len(rows) > 1 else ()
-                    key, rows = r[:3], []
-                rows.append(r[3:])
-            yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
-        out = list(pairs(rows)) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
+        """Pairs go out as they are found: a tile of near copies that no link joins yet has as many as the square of its rows."""
+        columns = lambda out: pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
+
+        def tiles():
+            key, rows = None, []
+            for batch in slices(batches, 512):  # lists of tokens become Python's a few rows at a time
+                for r in zip(*(batch.column(c).to_pylist() for c in ("token", "lo", "hi", "node", "n", "root", "bitmap", "chunk", "tokens")), strict=True):
+                    if r[:3] != key:
+                        yield rows
+                        key, rows = r[:3], []
+                    rows.append(r[3:])
+            yield rows
+
+        out = []
+        for rows in tiles():
+            for pair in pairs(rows) if len(rows) > 1 else ():
+                out.append(pair)
+                if len(out) >= PAIRS:
+                    yield columns(out)
+                    out = []
+        yield columns(out)
 
     cells = (
         mixed.withColumn("chunks", F.expr(f"cast(ceil(m / {TILE}) as int)"))
@@ -405,7 +419,7 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
 
     star = buckets.filter("hub <> node")
     nearest = star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    near = materialize(_bounded(nearest, nodes, similarity), "near-pairs")
+    near = materialize(_bounded(nearest, nodes, similarity), "near-pairs", WIDE_ROWS)
     links = _linked(near, nodes, rows, k, similarity, "near")
     drop(near)
     roots = materialize(connected_components(links), "roots")
@@ -428,7 +442,7 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
         before = tried
         if before is not None:
             rest = rest.join(before, ["a", "b"], "left_anti")
-        tried = materialize(rest, f"{turn}-tried")
+        tried = materialize(rest, f"{turn}-tried", WIDE_ROWS)
         drop(mixed, *([before] if before is not None else ()))
         more = _linked(tried, nodes, rows, k, similarity, turn)
         links = links.union(more)
