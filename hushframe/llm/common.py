@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
@@ -50,6 +51,18 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keeps_columns(stage):
+    """For stages that give out the columns of their first argument: whatever its columns are called, they don't meet those that the
+    stage makes, whose names begin with an underscore."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = [f"own{i}{c}" if c.startswith("_") else c for i, c in enumerate(docs.columns)]
+        return stage(docs.toDF(*names), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, text): null text as empty; uid tells apart rows that repeat a doc_id with other text."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import connected_components, drop, id_bitmap, in_bitmap, materialize, slices, text_rows, utf8_batch
+from .common import connected_components, drop, id_bitmap, in_bitmap, keeps_columns, materialize, slices, text_rows, utf8_batch
 from .rolling import mix, shingle_sets
 
 #: Rows that a tile holds at most; larger buckets are dealt out over pairs of chunks.
@@ -463,6 +463,7 @@ def similar_texts(docs: DataFrame, k: int = 5, similarity: int = 80, components_
     return {"documents": documents.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "links": links}
 
 
+@keeps_columns
 def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """docs without all but one row of each component: that of the smallest doc_id, null only if all are. Wordless rows stay, repeated ones too."""
     found = materialize(similar_texts(docs, k, similarity, components_only=True)["documents"], "components").filter("root is not null")

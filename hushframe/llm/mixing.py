@@ -25,7 +25,7 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import drop, materialize
+from .common import drop, keeps_columns, materialize
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
@@ -208,6 +208,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     return copies(rates), said
 
 
+@keeps_columns
 def repeat_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, thin: bool = False) -> DataFrame:
     """docs with each row as often as its rate says; columns stay."""
     rows = materialize(mixed(docs, labels, targets, thin)[0].select("doc_id", F.col("uid").alias("_uid"), F.col("copies").alias("_copies")).dropDuplicates(["doc_id", "_uid"]), "copies")

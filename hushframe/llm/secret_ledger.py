@@ -16,7 +16,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import materialize
+from .common import keeps_columns, materialize
 
 #: Changes whenever a rule does; part of what the ledger knows a scan by.
 RULE_VERSION = "1"
@@ -106,6 +106,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     return out.select("doc_id", F.col("_blob").alias("blob"), F.coalesce("_found", F.array().cast(_FINDINGS)).alias("findings")), whole
 
 
+@keeps_columns
 def without_secrets(docs: DataFrame, mask: str = "[SECRET]", ledger: DataFrame | None = None, version: str = RULE_VERSION) -> DataFrame:
     """docs with every found span replaced by the mask; all rows and columns stay."""
     rows = materialize(_addressed(docs, ledger, version).withColumn("_text", F.when(F.col("_suspect"), F.col("_text"))), "addressed")

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from hushframe.llm import quality_knn, secret_ledger  # noqa: E402
+from hushframe.llm import jaccard_join, mixing, quality_knn, secret_ledger  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, rate double, score string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -140,3 +140,17 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    """Extra columns with every name that the stages make for themselves come through unchanged."""
+    helpers = ["_text", "_blob", "_suspect", "_found", "_known", "_uid", "_wordless", "_copy", "_kept_id", "_kept_uid", "_copies", "_turn"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in helpers)
+    rows = [(i, t, 7, *(f"{c} of {i}" for c in helpers)) for i, t in enumerate(["password = abcdef123", "one two three four five six seven", None, "", "one two three four five six seven"])]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for stage in (secret_ledger.without_secrets, jaccard_join.keep_one, lambda d: mixing.repeat_by_rate(d, labels)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[c] for c in helpers] == [f"{c} of {r.doc_id}" for c in helpers]
