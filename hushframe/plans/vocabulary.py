@@ -7,6 +7,16 @@ IMAGE_CLASSES = ("ORDINARY_IMAGE", "SENSITIVE_IMAGE", "ID_DOCUMENT_IMAGE", "UNKN
 MODEL_TYPES = ("PERSON", "ADDRESS_DETAILED", "ORGANIZATION", "MEDICAL_DATA", "UNKNOWN_SENSITIVE")
 ENTITY_TYPES = SEVERITY + ("FACE", "ID_DOCUMENT_IMAGE", "ORDINARY_IMAGE")
 
+#: Words that show a picture to be a document, and a vision model's categories with their classes.
+DOCUMENT_KEYWORDS = (
+    "身份证", "居民身份证", "护照", "驾驶证", "行驶证", "户口", "签发机关", "有效期限", "银行卡", "信用卡", "社会保障", "医保卡", "出生日期", "公民身份号码",
+    "港澳通行证", "台胞证", "军官证", "警官证", "营业执照", "统一社会信用代码", "出生医学证明", "结婚证", "房产证", "不动产权证", "组织机构代码",
+    "机动车登记证书", "道路运输证", "从业资格证", "residence permit", "passport", "driver licen", "driving licence", "identity card", "id card",
+    "date of birth", "place of birth", "issuing authority", "valid until", "cardholder", "expiry date", "social security",
+)
+VISION = {"identity_document": "ID_DOCUMENT_IMAGE", "sensitive": "SENSITIVE_IMAGE", "ordinary": "ORDINARY_IMAGE", "unclear": "SENSITIVE_IMAGE"}
+MOST_VISION_BYTES = 8 << 20
+
 POLICY = {
     "version": "2026-09-01.1",
     "defaults": {"unknown_entity": "BLOCK", "unsupported_content": "BLOCK", "detector_error": "BLOCK", "low_confidence": "REDACT"},

@@ -13,7 +13,7 @@ from .functions import checks, keyed, text
 from .functions.spans import apply_edits, edits_error
 from .operators import decide, detect, merge, reports, requests, scopes, tokens
 from .plans.vocabulary import ACTIONS, DURATION_BUCKETS, IMAGE_CLASSES, POLICY, SEVERITY
-from .sources import binary
+from .sources import binary, made
 from .tables import written
 
 KEY = b"\x02" * 32
@@ -496,7 +496,7 @@ _CLEAN_SQL = "regexp_replace(coalesce({}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1
 _LINES_SQL = "replace(replace(nfc_normalize({}), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 _query("docx_parse", f"""select item_id, sha256('[DOCUMENT]' || chr(10) || '[PROPERTIES]' || chr(10) || 'creator: Ann' || chr(10) || '[/PROPERTIES]' || chr(10) || case when trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' then '' else '[BODY]' || chr(10) || {_LINES_SQL.format('t')} || chr(10) || '[/BODY]' || chr(10) end || '[/DOCUMENT]') as text_sha256,
     not starts_with(t, 'Th') as fully_inspected, starts_with(t, 'Th')::int as media, null::varchar as error_code from (select cast(doc_id as varchar) as item_id, {_CLEAN_SQL.format('text')} as t from documents where text is not null)""")(
-    lambda s, d: binary.parsed(_table(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("item_id"), binary.archived(F.col("text")).alias("data"))).select("item_id", F.sha2("text", 256).alias("text_sha256"), "fully_inspected", "media", "error_code")
+    lambda s, d: binary.parsed(_table(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("item_id"), made.archived(F.col("text")).alias("data"))).select("item_id", F.sha2("text", 256).alias("text_sha256"), "fully_inspected", "media", "error_code")
 )
 _query("xlsx_parse", f"""select conv_id::varchar as item_id, sha256('[DOCUMENT]' || chr(10) || case when min(role) = '' then '' else '[COMMENTS]' || chr(10) || min(role) || chr(10) || '[/COMMENTS]' || chr(10) end || '[DEFINED_NAMES]' || chr(10) || 'n: a!A1' || chr(10) || '[/DEFINED_NAMES]' || chr(10) || '[SHEET]' || chr(10)
       || {_LINES_SQL.format("string_agg(case n % 3 when 2 then '7 [=' || t || ']' else t end || ' | ' || n, chr(10) order by n)")} || chr(10) || '[/SHEET]' || chr(10) || '[SHEET]' || chr(10) || '2' || chr(10) || '[/SHEET]' || chr(10) || '[/DOCUMENT]') as text_sha256, 1 as hidden, true as fully_inspected
@@ -509,7 +509,7 @@ def xlsx_parse(spark, sf_dir):
     """A workbook for each conversation: its first 64 turn numbers as rows, the least role as a comment."""
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     rows = _table(spark, sf_dir, "conversations").filter("turn div 64 = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", clean.alias("t")))).alias("m"), F.min("role").alias("role"))
-    data = rows.select(F.col("conv_id").cast("string").alias("item_id"), binary.archived_workbook(F.col("m.t"), F.col("role")).alias("data"))
+    data = rows.select(F.col("conv_id").cast("string").alias("item_id"), made.archived_workbook(F.col("m.t"), F.col("role")).alias("data"))
     return binary.parsed(data).select("item_id", F.sha2("text", 256).alias("text_sha256"), "hidden", "fully_inspected")
 
 

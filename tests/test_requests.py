@@ -6,7 +6,7 @@ import struct
 import pyspark.sql.functions as F
 
 from hushframe.operators import requests
-from hushframe.sources import binary
+from hushframe.sources import binary, made
 
 CLAIM = '{"start": 0, "end": 2, "text": "ab", "type": "PERSON", "confidence": 0.5}'
 
@@ -75,7 +75,7 @@ def test_jpeg_metadata_and_archives(spark):
     seen = binary.classified(binary.parsed(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "item_id string, data binary")), F.lit("a cat"), F.lit(True), "passport")
     assert {r.item_id: (r.image_class, r.forwardable) for r in seen.collect()} == {"plain": ("ORDINARY_IMAGE", True), "exif": ("SENSITIVE_IMAGE", False), "cut": ("UNKNOWN_IMAGE", False), "sizeless": ("UNKNOWN_IMAGE", False)}
     texts = spark.createDataFrame([("a", "x <&> \r\n\ty\x00é"), ("b", None)], "item_id string, text string")
-    back = {r.item_id: r.text for r in binary.parsed(texts.select("item_id", binary.archived(F.col("text")).alias("data"))).collect()}
+    back = {r.item_id: r.text for r in binary.parsed(texts.select("item_id", made.archived(F.col("text")).alias("data"))).collect()}
     assert {k: re.search(r"\[BODY\]\n(.*)\n\[/BODY\]", v or "", re.DOTALL) for k, v in back.items()}["a"][1] == "x <&> \n\tyé" and back["b"] is None
 
 
