@@ -16,10 +16,8 @@ def audit(findings: DataFrame, key: bytes) -> DataFrame:
 
 def counters(decisions: DataFrame) -> DataFrame:
     """Counts by entity type and source, by action and reason, by item path, and of all: one pass over grouping sets."""
-    decisions.createOrReplaceTempView("_decisions")
-    return decisions.sparkSession.sql(
-        "select entity_type, source, action, reason_code, count(*) as n from _decisions group by grouping sets ((entity_type, source), (action, reason_code), (entity_type), ())"
-    )
+    sets = [[F.col("entity_type"), F.col("source")], [F.col("action"), F.col("reason_code")], [F.col("entity_type")], []]
+    return decisions.groupingSets(sets, "entity_type", "source", "action", "reason_code").agg(F.count("*").alias("n"))
 
 
 def entity_counts(findings: DataFrame, *keys: str) -> DataFrame:
@@ -33,3 +31,16 @@ def durations(rows: DataFrame, seconds: str, *keys: str) -> DataFrame:
     sums = rows.groupBy(*keys).agg(*(F.count_if(F.col(seconds) <= b).alias(f"_{i}") for i, b in enumerate(DURATION_BUCKETS)))
     each = F.array(*(F.struct(F.lit(b).alias("le"), F.col(f"_{i}").alias("n")) for i, b in enumerate(DURATION_BUCKETS)))
     return sums.select(*keys, F.explode(each).alias("x")).select(*keys, "x.le", "x.n")
+
+
+def sketched(rows: DataFrame, seconds: str, *keys: str) -> DataFrame:
+    """(keys, n, sketch): how long things took, as a quantile sketch of a few kilobytes for each key, to be kept and merged later.
+    Null durations don't count."""
+    return rows.filter(F.col(seconds).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(seconds).cast("double")).alias("sketch"))
+
+
+def percentiles(sketches: DataFrame, *keys: str, ranks: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(keys, n, p50, p95, p99) from sketches (.., n, sketch): those of a key are merged, nothing is read again. The rank of what is
+    given is off by about 1.7 % at most, for nearly all."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*keys, "n", *(F.kll_sketch_get_quantile_double("_s", F.lit(r)).alias(f"p{round(100 * r)}") for r in ranks))

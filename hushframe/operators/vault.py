@@ -8,7 +8,7 @@ Each function gives out the new state of its tables; a job writes them in the or
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.keyed import seal, unseal
 from ..plans.vocabulary import LIMITS
@@ -117,3 +117,25 @@ def public_view(scopes: DataFrame) -> DataFrame:
     """What callers see of a scope: lower-case states, ISO times."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx").alias(c)
     return scopes.select("scope_id", F.lower("status").alias("status"), F.lower("privacy_mode").alias("privacy_mode"), iso("idle_expires_at"), iso("absolute_expires_at"))
+
+
+def confirmed(vault: DataFrame, pending: DataFrame) -> DataFrame:
+    """pending (tenant_id, scope_id, entity_type, digest, token, ..) with error_code after the write: null where the vault as it now is
+    has exactly this token for the value; `mapping_lost` where it has none, or another job's was first. Text that shows such a
+    token must not leave. Of several mappings of a value, the earliest counts, then the least token."""
+    first = vault.groupBy(*VALUE).agg(F.min(F.struct("created_at", "token")).getField("token").alias("_held"))
+    return pending.join(first, VALUE, "left").withColumn("error_code", F.when(~F.col("token").eqNullSafe(F.col("_held")), "mapping_lost")).drop("_held")
+
+
+def settled(vault: DataFrame) -> DataFrame:
+    """The vault with one mapping of each value, the one that confirmed() takes: for jobs that wrote at the same time."""
+    order = Window.partitionBy(*VALUE).orderBy("created_at", "token")
+    return vault.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def uniqueness_errors(vault: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(error_code, tenant_id, scope_id, n): what breaks a rule of uniqueness: a scope, a value of a scope, a token of a scope; and
+    mappings whose scope doesn't exist. Empty if all hold."""
+    twice = lambda rows, keys, code: rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(code).alias("error_code"), *SCOPE, "n")
+    orphans = vault.join(scopes.select(*SCOPE), SCOPE, "left_anti").groupBy(*SCOPE).agg(F.count("*").alias("n")).select(F.lit("mapping_without_scope").alias("error_code"), *SCOPE, "n")
+    return twice(scopes, SCOPE, "scope_twice").unionByName(twice(vault, VALUE, "value_twice")).unionByName(twice(vault, [*SCOPE, "token"], "token_twice")).unionByName(orphans)

@@ -232,7 +232,7 @@ _query("item_effective_action", f"""select i.item_id, coalesce(arg_max(action, {
 )
 _query("action_counts", f"select action, reason_code, count(*) as n from ({_DECIDED_SQL}) group by all")(lambda s, d: decided_claims(s, d).groupBy("action", "reason_code").agg(F.count("*").alias("n")))
 _query("metrics_grouping_sets", f"select entity_type, source, action, count(*) as n, grouping(entity_type, source, action) as level from ({_DECIDED_SQL}) group by grouping sets ((entity_type, source), (action), ())")(
-    lambda s, d: (decided_claims(s, d).createOrReplaceTempView("decided_claims"), s.sql("select entity_type, source, action, count(*) as n, grouping_id(entity_type, source, action) as level from decided_claims group by entity_type, source, action grouping sets ((entity_type, source), (action), ())"))[1]
+    lambda s, d: decided_claims(s, d).groupingSets([[F.col("entity_type"), F.col("source")], [F.col("action")], []], "entity_type", "source", "action").agg(F.count("*").alias("n"), F.grouping_id("entity_type", "source", "action").alias("level"))
 )
 
 
