@@ -77,13 +77,28 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+#: Edits that are put in place within one piece of the text: long texts aren't walked through from the front for each edit.
+EDITS = 64
+
+
 def apply_edits(text: Column, edits: Column) -> Column:
     """text with disjoint edits (start, end, replacement), in order of start, put in place."""
 
+    def piece(e, i):
+        """The text from the end of the edits before to the end of this block's, with the block's edits made."""
+        block = F.slice(e, i * EDITS + 1, F.lit(EDITS))
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(e, i * EDITS)["end"])
+
+        def made(b):
+            own = _cut(text, begin, F.element_at(b, -1)["end"])
+            return let(own, lambda seg: F.array_join(F.transform(b, lambda x, k: F.concat(_cut(seg, F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(b, k)["end"] - begin), x["start"] - begin), x["replacement"])), ""))
+
+        return let(block, made)
+
     def put(e):
-        before = F.transform(e, lambda x, i: F.concat(_cut(text, F.when(i == 0, 0).otherwise(F.try_element_at(e, i)["end"]), x["start"]), x["replacement"]))
-        last = F.coalesce(F.try_element_at(e, F.lit(-1))["end"], F.lit(0))
-        return F.concat(F.array_join(before, ""), F.substring(text, last + 1, F.length(text)))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / EDITS).cast("int")), lambda i: piece(e, i))
+        last = F.try_element_at(e, F.lit(-1))["end"]
+        return F.when(F.size(e) == 0, text).otherwise(F.concat(F.array_join(blocks, ""), F.substring(text, last + 1, F.length(text))))
 
     return let(edits, put)
 

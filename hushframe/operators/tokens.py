@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..functions.keyed import hmac_sha256, value_digest
-from ..functions.spans import apply_edits, edits_error, find_all
+from ..functions.spans import apply_edits, edits_error, find_all, marked_parts
 from ..functions.text import TOKEN, canonical, canonical_of_normal, escape_token_like, keyed_token, nfkc_each
 from .merge import disjoint_edits
 from ..plans.vocabulary import ACTIONS
@@ -73,18 +73,23 @@ def restored(replies: DataFrame, vault: DataFrame) -> DataFrame:
     """replies (reply_id, scope_id, text) with restored_text, seen, restored, unknown and error_code: tokens the scope's vault holds
     become their originals; others stay as they are. Texts over MOST_OUTPUT or MOST_SUBSTITUTIONS are errors without text."""
     long = F.length("text") > MOST_OUTPUT
-    rows = replies.withColumn("_spans", F.when(long, F.array().cast("array<struct<start:int,end:int>>")).otherwise(find_all(F.col("text"), TOKEN)))
-    each = rows.select("reply_id", "scope_id", F.explode("_spans").alias("s"), "text").select("reply_id", "scope_id", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("token"))
+    # every second part is a token; only tokens and their numbers leave the row
+    parts = F.when(long, F.array(F.lit(""))).otherwise(marked_parts(F.col("text"), TOKEN))
+    listed = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("token"))), lambda x: x["i"] % 2 == 1)
+    each = replies.select("reply_id", "scope_id", F.explode(listed).alias("t")).select("reply_id", "scope_id", "t.i", "t.token")
     found = each.join(vault.select("scope_id", "token", "original"), ["scope_id", "token"], "left")
     made = found.groupBy("reply_id").agg(
-        F.count("*").alias("seen"), F.count("original").alias("restored"),
-        F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("original", "token").alias("replacement")))).alias("_edits"),
+        F.count("*").alias("seen"), F.count("original").alias("restored"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("original", "token").alias("said"))))["said"].alias("_said"),
     )
     none = F.lit(0).cast("long")
     error = F.when(long, "reply_too_long").when(F.col("restored") > MOST_SUBSTITUTIONS, "too_many_substitutions")
-    out = replies.join(made, "reply_id", "left").withColumn("_long", long)
+    out = replies.join(made, "reply_id", "left")
+    put = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.try_element_at("_said", (F.floor(i / 2) + 1).cast("int"))).otherwise(p)), "")
+    # the parts' marks stand for themselves in such a text: its spans are cut one by one
+    spans = F.zip_with(find_all(F.col("text"), TOKEN), "_said", lambda s, x: F.struct(s["start"], s["end"], x.alias("replacement")))
+    whole = F.when(F.contains("text", F.lit("\x01")), apply_edits(F.col("text"), spans)).otherwise(put)
     return out.select(
-        *replies.columns, F.when(error.isNull(), F.when(F.col("_edits").isNull(), F.col("text")).otherwise(apply_edits(F.col("text"), F.col("_edits")))).alias("restored_text"),
+        *replies.columns, F.when(error.isNull(), F.when(F.col("_said").isNull(), F.col("text")).otherwise(whole)).alias("restored_text"),
         F.coalesce("seen", none).alias("seen"), F.coalesce("restored", none).alias("restored"), (F.coalesce("seen", none) - F.coalesce("restored", none)).alias("unknown"), error.alias("error_code"),
     )
 

@@ -7,7 +7,8 @@ import time
 import pyspark.sql.functions as F
 import pytest
 
-from hushframe.operators import detect, merge
+from hushframe.functions.spans import apply_edits
+from hushframe.operators import detect, merge, tokens
 from hushframe.plans.vocabulary import SEVERITY, SOURCES
 
 
@@ -117,3 +118,29 @@ def test_merging_many_findings_costs_little_for_each(spark):
         took.append(best)
         df.unpersist()
     assert took[1] < 10 * took[0] + 2, took  # four times the findings; the square would be sixteen times
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 400])
+def test_edits_in_blocks_equal_plain_ones(spark, n):
+    r = random.Random(n)
+    text = "".join(r.choice("abé日😀") for _ in range(10 * n + 7))
+    edits, want, at = [], "", 0
+    for i in range(n):
+        start = i * 10 + r.randrange(5)
+        end = start + r.randrange(1, 5)
+        edits.append((start, end, f"<{i}>"))
+        want += text[at:start] + f"<{i}>"
+        at = end
+    want += text[at:]
+    df = spark.createDataFrame([(text, edits)], "t string, e array<struct<start:int,end:int,replacement:string>>")
+    assert df.select(apply_edits(F.col("t"), F.col("e")).alias("x")).first().x == want
+
+
+def test_replies_with_marks_and_many_tokens_are_restored(spark):
+    token = lambda i: f"[[PGW_V1_EMAIL_{'ABCDEFGH'[i // 8]}{'ABCDEFGH'[i % 8]}CDEFGHJKLM]]"
+    replies = [("a", "s", f"\x01{token(1)}\x02 and {token(2)}{token(1)}\x01"), ("b", "s", "none \x01"), ("c", "s", "".join(f"{token(i % 64)}-" for i in range(3000))), ("d", None, token(1))]
+    vault = spark.createDataFrame([("s", token(i), f"v{i}") for i in range(64) if i != 2], "scope_id string, token string, original string")
+    got = {r.reply_id: r for r in tokens.restored(spark.createDataFrame(replies, "reply_id string, scope_id string, text string"), vault).collect()}
+    assert got["a"].restored_text == f"\x01v1\x02 and {token(2)}v1\x01" and (got["a"].seen, got["a"].restored, got["a"].unknown) == (3, 2, 1)
+    assert got["b"].restored_text == "none \x01" and got["d"].restored_text == token(1)
+    assert got["c"].restored_text == "".join(f"{token(2)}-" if i % 64 == 2 else f"v{i % 64}-" for i in range(3000))
