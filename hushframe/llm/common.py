@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 
@@ -40,15 +41,39 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.hushframe_path = path
+    _WRITTEN[path] = out
     return out
 
 
+#: What materialize wrote in this process and nobody has deleted yet, in order.
+_WRITTEN: dict[str, DataFrame] = {}
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that materialize wrote and that nothing reads any more."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.hushframe_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.pop(table.hushframe_path, None)
+
+
+@contextlib.contextmanager
+def scratch(*kept: DataFrame):
+    """Within: an operator's tables are written; after: all that were written within are deleted, but for those that `keep` was
+    called with. For callers that have read or written an operator's result::
+
+        with scratch() as keep:
+            keep(materialize(operator(docs), "result"))
+    """
+    before, names = set(_WRITTEN), {t.hushframe_path for t in kept}
+
+    def keep(table: DataFrame) -> DataFrame:
+        names.add(table.hushframe_path)
+        return table
+
+    yield keep
+    drop(*(t for path, t in list(_WRITTEN.items()) if path not in before and path not in names))
 
 
 def keeps_columns(stage):

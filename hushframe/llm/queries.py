@@ -68,7 +68,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), k=4, similarity=85)["documents"]
-    return out.select("doc_id", "n_shingles", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,8 @@ ORACLES = {
     l as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) as l from w),
     s as (select doc_id, unnest(l) as sh from l),
     o as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
-    e as (select x, y from o join l p on x = p.doc_id join l q on y = q.doc_id where 100 * i >= 85 * (len(p.l) + len(q.l) - i)),
-    r(x, y) as (select doc_id, doc_id from l union select r.x, e.y from r join e on r.y = e.x)
-    select l.doc_id, any_value(len(l.l))::bigint as n_shingles, min(r.y) as component_id from l join r on l.doc_id = r.x group by l.doc_id""",
+    e as (select x, y, list_sort(q.l) as other, list_sort(p.l) <> list_sort(q.l) as new from o join l p on x = p.doc_id join l q on y = q.doc_id where 100 * i >= 85 * (len(p.l) + len(q.l) - i)),
+    r(x, y) as (select doc_id, doc_id from l union select r.x, e.y from r join e on r.y = e.x),
+    k as (select x, count(distinct other) as n_links from e where new group by x)
+    select l.doc_id, any_value(len(l.l))::bigint as n_shingles, min(r.y) as component_id, coalesce(any_value(k.n_links), 0) as n_links from l join r on l.doc_id = r.x left join k on l.doc_id = k.x group by l.doc_id""",
 }
