@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.llm import jaccard_join, mixing, packing, quality_knn, secret_ledger
-from hushframe.llm.common import materialize
+from hushframe.llm.common import drop, materialize, scratch
 
 #: Shares of expected tokens; those of low and toxic text are upper bounds: it is thinned out, never raised. Clean tokens stay.
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
@@ -54,6 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:  # a stage's own tables go when its result is written, and its input with them
+            docs = keep(materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
