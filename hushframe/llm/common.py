@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import uuid
 
@@ -137,6 +138,26 @@ def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on for tasks of other steps."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every platform
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(run):
+    """A function over a task's batches that gives memory back when it is through."""
+
+    @functools.wraps(run)
+    def freed(batches):
+        yield from run(batches)
+        give_back()
+
+    return freed
+
+
 def slices(batches, rows: int = 128):
     """Arrow batches in parts of a few rows, so that what is computed from the bytes stays small."""
     for batch in batches:

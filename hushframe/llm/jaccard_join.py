@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import connected_components, drop, id_bitmap, in_bitmap, keeps_columns, materialize, slices, text_rows, utf8_batch
+from .common import connected_components, drop, freeing, id_bitmap, in_bitmap, keeps_columns, materialize, slices, text_rows, utf8_batch
 from .rolling import mix, shingle_sets
 
 #: Rows that a tile holds at most; larger buckets are dealt out over pairs of chunks.
@@ -104,7 +104,7 @@ def _nodes(rows: DataFrame, k: int) -> DataFrame:
         if held:
             yield counted()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def _prefixes(rows: DataFrame, k: int, similarity: int, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -136,7 +136,7 @@ def _prefixes(rows: DataFrame, k: int, similarity: int, hot: np.ndarray, rank: n
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(ns))], ["token", "node", "n"])
 
-    return rows.select("text").mapInArrow(run, "token long, node long, n long")
+    return rows.select("text").mapInArrow(freeing(run), "token long, node long, n long")
 
 
 def _buckets(prefixes: DataFrame, similarity: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _buckets(prefixes: DataFrame, similarity: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["token", "node", "n", "hub"])
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "token long, node long, n long, hub long")
+    return prefixes.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(freeing(run), "token long, node long, n long, hub long")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
                 keep[i] = min(na[i] - np.bitwise_count(x & ~y).sum(dtype=np.int64), nb[i] - np.bitwise_count(y & ~x).sum(dtype=np.int64)) >= need[i]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    return wide.mapInArrow(run, "a long, b long")
+    return wide.mapInArrow(freeing(run), "a long, b long")
 
 
 def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
@@ -276,7 +276,7 @@ def _tiles(mixed: DataFrame, similarity: int, nearest: bool) -> DataFrame:
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "n", "root", "bitmap", "chunk", F.filter("tokens", lambda x: x < F.col("token")).alias("tokens"))
     )
-    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
+    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(freeing(run), "a long, b long")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +296,7 @@ def _with_shingles(texts: DataFrame, k: int, keep: list[str]) -> DataFrame:
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, "shingles"])
 
-    return texts.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", shingles array<long>")
+    return texts.select(*keep, "text").mapInArrow(freeing(run), ", ".join(f"{c} long" for c in keep) + ", shingles array<long>")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, similarity: int, name: str) -> DataFrame:
@@ -389,7 +389,7 @@ def _every_link(links: DataFrame, roots: DataFrame, nodes: DataFrame, rows: Data
         if held:
             yield from found()
 
-    found = cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "chunk", "n").mapInArrow(run, "a long, b long")
+    found = cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "chunk", "n").mapInArrow(freeing(run), "a long, b long")
     out = materialize(pairs.union(found), "every-link")
     drop(reps, sized)
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import materialize, text_rows
+from .common import freeing, materialize, text_rows
 from .rolling import lanes, mix
 
 #: Items in a first group, and groups merged into one in each round.
@@ -39,7 +39,8 @@ class WordIds:
     """Token ids of whole texts: plain Latin text is split and looked up word by word, a batch at a time; only unseen words,
     and texts with anything else in them, go to the tokenizer itself. Words are found by hash and then compared."""
 
-    MOST = 1_000_000
+    #: Words remembered; workers keep them from task to task.
+    MOST = 300_000
     FIRST_OTHER = 0x250
     #: Characters of a word that may be looked up.
     LONGEST = 32
@@ -180,7 +181,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in _PIECE.split(", ")])
 
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, _PIECE)
+    return text_rows(docs).select("doc_id", "text").mapInArrow(freeing(run), _PIECE)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

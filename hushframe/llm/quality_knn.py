@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import drop, materialize, slices, text_rows, utf8_batch
+from .common import drop, freeing, materialize, slices, text_rows, utf8_batch
 from .rolling import separated, word_hashes
 
 #: Labelled texts of each label that are learnt from, at most; dimensions; neighbours that vote; power of the similarity.
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 128)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(held.value.score(term_shares(*utf8_batch(part.column("text")))))], ["doc_id", "uid", "score"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, uid long, score double")
+    return text_rows(docs).mapInArrow(freeing(run), "doc_id long, uid long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -202,4 +202,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 score = held.value.score(term_shares(*utf8_batch(part.column("text").fill_null(""))))
                 yield part.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
