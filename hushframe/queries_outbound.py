@@ -150,7 +150,7 @@ def system_prompt(spark, sf_dir):
     return listed.select("request_id", F.sha2(outbound.system_prompt(F.col("m"), F.col("tokens")).cast("binary"), 256).alias("prompt_sha256"))
 
 
-_query("issued_tokens", f"select request_id, count(distinct source || entity_type || raw) as n from (select i.request_id, i.source, f.entity_type, f.raw from ({_DOC_DECIDED_SQL.replace('select *,', 'select * exclude (source),')}) f join {_ITEMS_SQL} i on f.item_id = i.item_id where f.action = 'TOKENIZE' and regexp_matches(raw, '^[0-9a-z@.]*$')) group by request_id")(
+_query("issued_tokens", f"select request_id, count(distinct source || entity_type || raw) as n from (select i.request_id, i.source, f.entity_type, f.raw from (select item_id, action, entity_type, raw from ({_DOC_DECIDED_SQL})) f join {_ITEMS_SQL} i on f.item_id = i.item_id where f.action = 'TOKENIZE' and regexp_matches(raw, '^[0-9a-z@.]*$')) group by request_id")(
     lambda s, d: outbound.issued(request_items(s, d).select("request_id", F.transform(F.filter("f", lambda f: (f["action"] == "TOKENIZE") & f["raw"].rlike(r"^[0-9a-z@.]*\z")), lambda f: f["token"]).alias("tokens")), "request_id").select("request_id", F.size("issued_tokens").cast("long").alias("n"))
 )
 _query("request_totals", f"select request_id, sum(octet_length(encode(text)))::bigint as total_bytes, count(*) filter (where failed) as file_count from {_ITEMS_SQL} group by request_id")(
