@@ -3,6 +3,7 @@
 import datetime
 
 import pyspark.sql.functions as F
+import pytest
 
 from hushframe.operators import claims, decide, outbound, vault
 from hushframe.plans.vocabulary import IMAGE_CLASSES
@@ -137,3 +138,26 @@ def test_leaks_and_uncovered_items(spark):
     decisions = spark.createDataFrame([("a", "PASS"), ("b", "LOCAL_ONLY")], "item_id string, action string")
     assert {r.item_id: r.error_code for r in decide.leaks(items, decisions).collect()} == {"b": "withheld_in_outbound", "c": "no_decision"}
     assert [r.item_id for r in decide.uncovered(items, decisions).collect()] == ["c"]
+
+
+def test_policies_in_yaml_say_the_same(spark, tmp_path):
+    from hushframe.plans.vocabulary import POLICY
+    from hushframe.sources.policy import loaded
+
+    yaml = pytest.importorskip("yaml")
+    rules = lambda x: {k: {"action": a, "minimum_confidence": c} if c else {"action": a} for k, (a, c) in x.items()}
+    document = {
+        "version": POLICY["version"], "defaults": POLICY["defaults"], "entities": rules(POLICY["entities"]), "content_classes": {k: {"action": a} for k, a in POLICY["content_classes"].items()},
+        "purpose_overrides": {p: rules(x) for p, x in POLICY["purpose_overrides"].items()},
+    }
+    path = tmp_path / "policy.yaml"
+    path.write_text(yaml.safe_dump(document))
+    assert loaded(spark, str(path)) == POLICY
+    for key, broken in (("PHONE", {"action": "PASS", "minimum": 1}), ("PHONE", "PASS"), ("PHONE", {"action": "FORGET"}), ("PHONE", {"action": "PASS", "minimum_confidence": True})):
+        path.write_text(yaml.safe_dump(document | {"entities": rules(POLICY["entities"]) | {key: broken}}))
+        with pytest.raises(ValueError, match="policy"):
+            loaded(spark, str(path))
+    for text in ("a: [", "- a", "version: !!python/object/apply:os.getcwd []"):
+        path.write_text(text)
+        with pytest.raises(ValueError, match="policy"):
+            loaded(spark, str(path))
