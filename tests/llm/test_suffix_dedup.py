@@ -50,5 +50,17 @@ def test_equals_brute_force(spark, monkeypatch, seed, chunk, length):
     assert all(r.text == bytes(r.kept).decode("utf-8", "ignore") for r in got)
 
 
+def test_rows_without_a_doc_id(spark):
+    r = random.Random(4)
+    make = lambda n: "".join(r.choice("abéd ") for _ in range(n))
+    passage = make(700)
+    edited = passage[:350] + "#" + passage[351:]
+    rows = [(None, make(90) + passage), (None, passage + make(40)), (None, edited), (7, edited + make(30)), (None, make(600)), (None, None), (0, make(50) + passage[200:])]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 120).collect()
+    none = lambda i: -1 if i is None else i
+    assert sorted((none(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute([(none(i), t) for i, t in rows], 120)
+    assert sum(r.n_removed > 0 for r in got) == 5
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
