@@ -13,7 +13,7 @@ from .queries import _DIGEST_SQL, _VAULT_SQL, TENANT, _query, _table, tokened_cl
 from .queries_outbound import _FILE_SQL
 from .sources import model, uploads
 from .streaming import sinks
-from .tables import shared_dir, written
+from .tables import deleted, shared_dir, written
 
 
 def _folder(spark, name: str) -> str:
@@ -21,6 +21,10 @@ def _folder(spark, name: str) -> str:
 
 
 # ---- uploads: a folder for each page, with a manifest and the page's html as a file ------------------------------------
+#: Requests whose folders stand at once: each takes blocks of the disk for its files and folders, and the driver holds their names.
+WAVE = 16_384
+
+
 @_query("upload_folder", f"""select request_id, 't' as item_id, 'text/plain' as detected_mime, coalesce(octet_length(encode(url)), 0)::int as byte_size, case when coalesce(url, '') = '' then 'text_required' end as error_code from {_FILE_SQL}
     union all select request_id, 'i', m, case when n <= 1500 then n + 1 else 0 end, case when n is null or n > 1500 then 'file_missing' when m <> 'text/plain' then 'unsupported_media_type' end from (select *, case when n > 1500 or n is null then null when
       regexp_matches(h, '^(..)*(0[0-8EF]|1[0-9A-F])') then 'application/octet-stream' else 'text/plain' end as m from {_FILE_SQL})""")
@@ -30,12 +34,22 @@ def upload_folder(spark, sf_dir):
     none = F.lit(None).cast("string")
     content = F.array(item("text", "t", text=F.col("url"), file_field=none), item("file", "i", text=none, file_field=F.lit("f")))
     body = F.struct(F.lit("general").alias("purpose"), F.lit("m").alias("model"), F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"))
-    folder = _folder(spark, "uploads")
     manifests = pages.select("request_id", F.lit(uploads.MANIFEST).alias("part"), F.to_json(body).alias("value"))
     files = pages.filter("html is not null").select("request_id", F.when(F.octet_length("html") > 1500, "g").otherwise("f").alias("part"), F.col("html").alias("value"))
-    uploads.write_texts(manifests.unionByName(files).repartition("request_id"), folder)
-    found, data = uploads.requests(uploads.parts(spark, folder))
-    return requests.with_files(uploads.items(found), data).select("request_id", "item_id", "detected_mime", F.col("byte_size").cast("int").alias("byte_size"), "error_code")
+    wave = F.pmod(F.xxhash64("request_id"), F.lit(max(1, -(-pages.count() // WAVE)))).cast("int")
+    sent, out = _folder(spark, "uploads-sent"), _folder(spark, "uploads-items")
+    manifests.unionByName(files).withColumn("wave", wave).write.partitionBy("wave").parquet(sent)
+    rows = spark.read.schema("request_id string, part string, value string, wave int").parquet(sent)
+    items = spark.createDataFrame([], "request_id string, item_id string, detected_mime string, byte_size int, error_code string")
+    items.write.parquet(out)
+    for r in rows.select("wave").distinct().collect():
+        folder = _folder(spark, "uploads")
+        uploads.write_texts(rows.filter(F.col("wave") == r.wave).drop("wave"), folder)
+        found, data = uploads.requests(uploads.parts(spark, folder))
+        requests.with_files(uploads.items(found), data).select("request_id", "item_id", "detected_mime", F.col("byte_size").cast("int").alias("byte_size"), "error_code").write.mode("append").parquet(out)
+        uploads.delete(spark, folder)
+    deleted(spark, sent)
+    return spark.read.schema(items.schema).parquet(out)
 
 
 # ---- a model that answers, fails, cuts off and is late, by customer --------------------------------------------------------

@@ -1,11 +1,13 @@
 """Uploads, the model source, sinks, races and percentiles beyond what the queries show."""
 
+import os
 import tempfile
 import time
 
 import pyspark.sql.functions as F
 import pytest
 
+from hushframe import queries_io, tables
 from hushframe.operators import reports, vault
 from hushframe.sources import model, uploads
 from hushframe.streaming import sinks
@@ -31,6 +33,32 @@ def test_uploads_keep_ids_and_refuse_two_manifests(spark):
     assert "PartitionFilters: [isnotnull(request_id" in plan
 
 
+def test_many_uploads_are_listed_by_few_tasks_and_odd_ids_stay(spark):
+    ids = ["a/b", "a=b", "c d%", "é{1}", *(str(i) for i in range(200))]
+    rows = spark.createDataFrame([(i, p, f"{i} {p}") for i in ids for p in ("manifest", "f:1")] + [("a=b", "two", "x"), ("a=b", "two", None)], "request_id string, part string, value string")
+    to = folder()
+    uploads.write_texts(rows.repartition(3, "request_id"), to)
+    assert not [f for f in os.listdir(to.removeprefix("file://") + "/request_id=a%3Db/part=two") if not f.startswith("part-")]
+    spark.sparkContext.setJobGroup("listing", "listing")
+    read = uploads.parts(spark, to)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    said = spark.sparkContext.statusTracker()
+    tasks = [said.getStageInfo(s).numTasks for j in said.getJobIdsForGroup("listing") for s in said.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) < len(ids)
+    got = {(r.request_id, r.part, bytes(r.content).decode()) for r in read.collect()}
+    assert got - {("a=b", "two", "x\n\n"), ("a=b", "two", "\nx\n")} == {(i, p, f"{i} {p}\n") for i in ids for p in ("manifest", "f:1")}
+
+
+def test_waves_of_uploads_give_the_rows_of_one_and_leave_no_folder(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, f"u{i}" if i % 3 else None, None if i % 4 == 0 else "<p>" * (i * 60)) for i in range(12)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    whole = {tuple(r) for r in queries_io.upload_folder(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(queries_io, "WAVE", 4)
+    assert {tuple(r) for r in queries_io.upload_folder(spark, str(tmp_path)).collect()} == whole and len(whole) == 24
+    assert not [f for f in os.listdir(tables.shared_dir(spark).removeprefix("file://") + "/hushframe") if f.endswith(("-uploads", "-uploads-sent"))]
+    spark.createDataFrame([], "page_id long, url string, html string").write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert queries_io.upload_folder(spark, str(tmp_path)).collect() == []
+
+
 # ---- model ----
 class Clock:
     def __init__(self):
